@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_quality", "q_simhash"]
+MODULES = ["q_quality", "q_simhash", "q_urlfilter"]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
