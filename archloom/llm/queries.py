@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_quality", "q_simhash", "q_urlfilter", "q_extract"]
+MODULES = ["q_quality", "q_simhash", "q_urlfilter", "q_extract", "q_bundles"]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
