@@ -49,7 +49,7 @@ class Fit:
     best first. decay: weight of the squared weights; fairness: of the squared changes of the logit."""
 
     rows: int = 5000
-    ratio: float = 30.0
+    ratio: float = 20.0
     lift: float = 10.0
     features: int = 4096
     decay: float = 3e-5
