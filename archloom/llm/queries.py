@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_quality", "q_simhash", "q_urlfilter", "q_extract", "q_bundles", "q_mixing", "q_decontaminate", "q_toxicity", "q_lmscore"]
+MODULES = ["q_quality", "q_simhash", "q_urlfilter", "q_extract", "q_bundles", "q_mixing", "q_decontaminate", "q_toxicity", "q_lmscore", "q_passages"]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
