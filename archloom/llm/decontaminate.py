@@ -302,10 +302,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
         if compiled is None:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(compiled)
+        out = out.where(_free(shared, q)(out[text]))
+    return out
 
-        @F.arrow_udf(BooleanType())
-        def free(texts: pa.Array, shared=shared) -> pa.Array:
-            return pa.array([not search(t.as_py(), shared.value, q) for t in texts], pa.bool_())
 
-        out = out.where(free(out[text]))
-    return out
+def _free(shared, q: int):
+    @F.arrow_udf(BooleanType())
+    def free(texts: pa.Array) -> pa.Array:
+        return pa.array([not search(t.as_py(), shared.value, q) for t in texts], pa.bool_())
+
+    return free

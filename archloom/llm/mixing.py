@@ -113,27 +113,44 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     without words have target 0. Rows that repeat both doc_id and text get the same number of copies. The same table gives the same copies in any order or partitioning.
     """
     rows = staged(
-        docs.select(docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), words(docs[text]).alias("size"), (F.shiftrightunsigned(F.xxhash64(docs[doc_id], docs[text]), 11) / float(1 << 53)).alias("u")), "sizes"
+        docs.select(docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), words(docs[text]).alias("size"), hashed(docs[doc_id], docs[text]).alias("u")), "sizes"
     )
     return copies(rows, weights, share).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
-    """rows (source, size, u, ...) -> with source_size, target and copies."""
-    counts = staged(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
+def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() has copies of it, with its columns and copy (1, 2), which takes the place of a column of that name. Rows without words have none."""
+    measured = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[source].cast("string").alias("source"), words(docs[text]).alias("size"), hashed(docs[doc_id], docs[text]).alias("u"))
+    basis = staged(measured.select("source", "size", "u"), "sizes")
+    taken = copies(measured, weights, share, basis).where("copies > 0")
+    each = taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return each.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "copy"], "copy")
+
+
+def hashed(*columns: Column) -> Column:
+    """A number in [0, 1) that depends on the columns' values alone."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(1 << 53)
+
+
+def copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, basis: DataFrame | None = None) -> DataFrame:
+    """rows (source, size, u, ...) -> with source_size, target and copies. basis: source, size and u of the same rows, if these are dear to compute."""
+    basis = rows if basis is None else basis
+    counts = staged(basis.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     goals = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share)
     pre = counts.join(goals.select("source", "rank"), counts.source.eqNullSafe(goals.source)).select("rank", "size", "n")
     dual = multipliers(staged(pre, "counts-ranked"), goals)
     known = staged(goals.join(dual, "rank", "left").select(F.col("source").alias("s"), "rank", "source_size", "target", "mean", "l"), "rates")
-    r = F.when(F.col("l") == float("inf"), 2.0).when((F.col("size") == 0) | F.col("l").isNull() | (F.col("l") == float("-inf")), 0.0).otherwise(_rate(F.col("l"), F.col("size"), F.col("mean")))
-    x = rows.join(known, rows.source.eqNullSafe(known.s)).withColumn("r", r)
-    whole = F.least(F.floor("r"), F.lit(2))
-    x = x.withColumn("whole", whole).withColumn("part", F.col("r") - F.col("whole"))
-    free = (F.col("size") > 0) & (F.col("part") > 0)
-    x = x.withColumn("class", F.when(free, F.floor(F.log2("size"))).cast("int")).withColumn("bin", F.when(free, F.floor((F.col("u") - F.col("part") + 1) * (BINS / 2))).cast("int"))
-    hist = x.where(free).groupBy("rank", "class", "bin").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("part")).alias("expected"))
+    def rated(x: DataFrame) -> DataFrame:
+        x = x.join(known, x["source"].eqNullSafe(known["s"]))
+        r = F.when(F.col("l") == float("inf"), 2.0).when((F.col("size") == 0) | F.col("l").isNull() | (F.col("l") == float("-inf")), 0.0).otherwise(_rate(F.col("l"), F.col("size"), F.col("mean")))
+        x = x.withColumn("r", r).withColumn("whole", F.least(F.floor("r"), F.lit(2))).withColumn("part", F.col("r") - F.col("whole"))
+        free = (F.col("size") > 0) & (F.col("part") > 0)
+        return x.withColumn("class", F.when(free, F.floor(F.log2("size"))).cast("int")).withColumn("bin", F.when(free, F.floor((F.col("u") - F.col("part") + 1) * (BINS / 2))).cast("int"))
+
+    hist = rated(basis).where("bin IS NOT NULL").groupBy("rank", "class", "bin").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("part")).alias("expected"))
     cuts = staged(hist.groupBy("rank").applyInPandas(_cuts, "rank long, class int, cut int"), "cuts")
     c = cuts.select(F.col("rank").alias("__rank"), F.col("class").alias("__class"), "cut")
+    x = rated(rows)
     y = x.join(c, (x["rank"] == c["__rank"]) & (x["class"] == c["__class"]), "left")
     extra = F.when(F.col("bin") < F.col("cut"), 1).otherwise(0)
     return y.select(*[rows[k] for k in rows.columns], "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
