@@ -262,10 +262,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     literally. Null and empty texts, on either side, have no copies; documents without copies have no
     row; repeated rows are searched one by one; an empty benchmark or table gives an empty result.
     """
-    keep = [c for c in (keep if keep is not None else [doc_id])]
+    keep = [c for c in (keep if keep is not None else [doc_id]) if c not in ("item_id", "start", "end", "edits", "item_chars")]
     kind = benchmark.schema[item_id].dataType.simpleString()
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + OUTPUT.format(id=kind)
+    source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("t"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + OUTPUT.format(id=kind)
     result = None
     spark = docs.sparkSession
     for part in blocks(benchmark, item_id, item_text, block_chars):
@@ -285,13 +285,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 if rows:
                     kept = [c.take(pa.array(rows)) for c in batch.columns[:-1]]
                     j, a, z, e = zip(*items)
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array([b.ids[x] for x in j]), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(e, pa.int32()), pa.array([len(b.chars[x]) for x in j], pa.int32())], [*keep, "item_id", "start", "end", "edits", "item_chars"])
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array([b.ids[x] for x in j]), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(e, pa.int32()), pa.array([len(b.chars[x]) for x in j], pa.int32())], [*batch.schema.names[:-1], "item_id", "start", "end", "edits", "item_chars"])
 
         found = source.mapInArrow(run, kinds)
         result = found if result is None else result.union(found)
     if result is None:
-        result = source.select(*[F.col(c) for c in keep], F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("int").alias("item_chars")).where(F.lit(False))
-    return result
+        result = source.select(*[F.col(f"k{i}") for i in range(len(keep))], F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("int").alias("item_chars")).where(F.lit(False))
+    return result.toDF(*keep, "item_id", "start", "end", "edits", "item_chars")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.08, block_chars: int = 4 << 20) -> DataFrame:

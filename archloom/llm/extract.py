@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import row_wise
+
 _TOKEN = re.compile(r"""<!--(?:.*?-->|-?>|.*\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""", re.S)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -187,13 +188,9 @@ def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None =
     Null, empty and textless pages give the empty text. Broken markup is read as far as it goes: unclosed
     elements end with the element around them. Repeated rows are read one by one. A kept column called text or n_chars gives way.
     """
-    keep = [c for c in (keep if keep is not None else [c for c in pages.columns if c != html]) if c not in ("text", "n_chars")]
-    source = pages.select(*[pages[c] for c in keep], pages[html].alias("__html"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(x, window, surge) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
+    def read(pages: pa.Array) -> list[pa.Array]:
+        texts = [main_text(x, window, surge) for x in pages.to_pylist()]
+        return [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
 
-    return source.mapInArrow(run, kinds + "text string, n_chars long")
+    return row_wise(pages, html, keep, "text string, n_chars long", read)

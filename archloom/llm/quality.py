@@ -6,7 +6,6 @@ hash occurs twice or more in the same text mark their words as repeated. One pas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from .shared import row_wise
 from .text import Words, mix, ngrams, slices, words
 
 _SYMBOLS = np.zeros(256, bool)
@@ -112,18 +112,13 @@ def repetition_coverage(docs: DataFrame, text: str = "text", keep: list[str] | N
     zero words: base_failed true, kept false. Repeated rows are judged one by one; an empty table
     gives an empty result. A measure takes the place of a kept column of the same name.
     """
-    grams = "".join(f"dup_chars_{n} long, " for n in rules.ngram_share)
-    made = [x.split()[0] for x in OUTPUT.format(grams=grams).split(", ")]
-    keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in made]
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            m = measure(b.column(b.num_columns - 1), rules)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(m[c]) for c in made]], [*keep, *made])
-
-    return source.mapInArrow(run, f"{kinds + ', ' if kinds else ''}{OUTPUT.format(grams=grams)}")
+    made = OUTPUT.format(grams="".join(f"dup_chars_{n} long, " for n in rules.ngram_share))
+
+    def measured(texts: pa.Array) -> list[pa.Array]:
+        m = measure(texts, rules)
+        return [pa.array(m[x.split()[0]]) for x in made.split(", ")]
+
+    return row_wise(docs, text, keep, made, measured)
 
 
 def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:

@@ -11,8 +11,13 @@ import atexit
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .text import slices
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -61,3 +66,20 @@ def _clean() -> None:
             _delete(spark, path)
         except Exception:  # the session may be gone
             return
+
+
+def row_wise(docs: DataFrame, text: str, keep: list[str] | None, made: str, measure: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The columns ``keep`` of docs (default: all but the text) and those that measure() makes of Arrow arrays of whole texts, in one pass.
+
+    made: their names and types, as in DDL. A kept column of such a name gives way. Columns travel under numbers, so their names can't clash.
+    """
+    names = [x.split()[0] for x in made.split(", ")]
+    keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in names]
+    source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("t"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *measure(b.column(b.num_columns - 1))], [*b.schema.names[:-1], *names])
+
+    return source.mapInArrow(run, ", ".join([*kinds, made])).toDF(*keep, *names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, staged
+from .shared import discard, row_wise, staged
 
 #: Identity terms by group; a term is swapped for others of its group.
 IDENTITY = (
@@ -219,14 +219,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     Null and empty texts have no features and get the model's base score. Repeated rows get equal scores;
     an empty table gives an empty result. A kept column called score gives way.
     """
-    keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c != "score"]
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    made: list[Reader] = []  # one for each task
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.index)
-        for b in batches:
-            scores = [model.score(reader.text(t.as_py())) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*keep, "score"])
+    def scored(texts: pa.Array) -> list[pa.Array]:
+        if not made:
+            made.append(Reader(model.index))
+        return [pa.array([model.score(made[0].text(t.as_py())) for t in texts], pa.float64())]
 
-    return source.mapInArrow(run, kinds + "score double")
+    return row_wise(docs, text, keep, "score double", scored)
