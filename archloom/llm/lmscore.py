@@ -19,84 +19,79 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, staged
+from .shared import discard, row_wise, staged
 from .text import buffers
 
 
-def word_counts(docs: DataFrame, text: str, in_domain: str) -> DataFrame:
-    """docs with a boolean column in_domain -> (word binary, general long, domain long) over all texts."""
+def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(word binary, n long) over all texts."""
 
-    def flush(n: Counter, m: Counter) -> pa.RecordBatch:
-        ws = list(n)
-        return pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array([n[w] for w in ws], pa.int64()), pa.array([m.get(w, 0) for w in ws], pa.int64())], ["word", "general", "domain"])
+    def flush(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, m = Counter(), Counter()
+        n = Counter()
         for b in batches:
             data, offsets = buffers(b.column(0))
-            for i, inside in enumerate(b.column(1).to_pylist()):
-                ws = data[offsets[i] : offsets[i + 1]].tobytes().split()
-                n.update(ws)
-                if inside:
-                    m.update(ws)
+            for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                n.update(data[a:z].tobytes().split())
                 if len(n) > 1_000_000:  # bounds a task's memory; the sums meet after the shuffle
-                    yield flush(n, m)
+                    yield flush(n)
                     n.clear()
-                    m.clear()
         if n:
-            yield flush(n, m)
+            yield flush(n)
 
-    counted = docs.select(docs[text].alias("t"), F.coalesce(docs[in_domain], F.lit(False)).alias("d")).mapInArrow(run, "word binary, general long, domain long")
-    return counted.groupBy("word").agg(F.sum("general").alias("general"), F.sum("domain").alias("domain"))
+    return texts.select(texts[text].alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary(counts: DataFrame, column: str, size: int, longest: int) -> bytes:
-    """The words that save most, up to size bytes: least first. Words of more than ``longest`` bytes are no dictionary entries (their few repeats compress by themselves)."""
-    gain = F.col(column) * F.length("word")
-    best = counts.where((F.col(column) > 1) & (F.length("word") >= 3) & (F.length("word") <= longest)).orderBy(gain.desc(), F.col("word")).limit(size // 4).select("word").collect()
-    out, total = [], 0
-    for r in best:
+def dictionary(texts: DataFrame, text: str = "text", size: int = 112_640, longest: int = 64) -> bytes:
+    """The words that save most (count times length, then by bytes), up to size bytes: least first. Words of under 3 or over ``longest`` bytes are no entries.
+
+    A histogram of savings gives a bound that lets through what fills the dictionary and little more; only these words come to the driver.
+    """
+    gain = F.col("n") * F.length("word")
+    counts = staged(word_counts(texts, text).where((F.col("n") > 1) & (F.length("word") >= 3) & (F.length("word") <= longest)).withColumn("gain", gain), "words")
+    steps = counts.groupBy(F.floor(F.log2("gain") * 16).alias("step")).agg(F.sum(F.length("word") + 1).alias("bytes")).collect()  # at most 16 for each power of two
+    total, least = 0, 0
+    for r in sorted(steps, key=lambda r: -r.step):
+        total, least = total + r.bytes, r.step
+        if total >= size:
+            break
+    best = counts.where(F.floor(F.log2("gain") * 16) >= least).select("word", "gain").collect()
+    discard(counts)
+    out, used = [], 0
+    for r in sorted(best, key=lambda r: (-r.gain, bytes(r.word))):
         w = bytes(r.word) + b" "
-        if total + len(w) > size:
+        if used + len(w) > size:
             break
         out.append(w)
-        total += len(w)
-    return b"".join(reversed(out)) or b"        "
+        used += len(w)
+    return b"".join(reversed(out)) or b" " * 8
 
 
 def score(docs: DataFrame, domain: bytes, general: bytes, text: str = "text", keep: list[str] | None = None, level: int = 3) -> DataFrame:
     """The columns ``keep`` of every row (default: all but the text), with n_bytes, domain_bytes, general_bytes (compressed sizes) and score."""
-    made = ["n_bytes", "domain_bytes", "general_bytes", "score"]
-    keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in made]
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    packers: list[zstandard.ZstdCompressor] = []  # two for each task
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packers = []
-        for content in (domain, general):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            packers.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        for b in batches:
-            data, offsets = buffers(b.column(b.num_columns - 1))
-            raw = memoryview(data.tobytes())
-            sizes = [[len(p.compress(raw[a:z])) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())] for p in packers]
-            values = [(g - d) / (g + d) for d, g in zip(*sizes)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(offsets[1:] - offsets[:-1]), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64()), pa.array(values, pa.float64())], [*keep, *made])
+    def scored(texts: pa.Array) -> list[pa.Array]:
+        if not packers:
+            for content in (domain, general):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                packers.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        data, offsets = buffers(texts)
+        raw = memoryview(data.tobytes())
+        sizes = [[len(p.compress(raw[a:z])) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())] for p in packers]
+        return [pa.array(offsets[1:] - offsets[:-1]), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64()), pa.array([(g - d) / (g + d) for d, g in zip(*sizes)], pa.float64())]
 
-    return source.mapInArrow(run, kinds + "n_bytes long, domain_bytes long, general_bytes long, score double")
+    return row_wise(docs, text, keep, "n_bytes long, domain_bytes long, general_bytes long, score double", scored)
 
 
-def compression_score(docs: DataFrame, in_domain: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, dict_bytes: int = 112_640, longest: int = 64, level: int = 3) -> DataFrame:
-    """Scores every row of docs; in_domain (doc_id): the documents that make the domain's dictionary; the general one is made of all.
+def compression_score(docs: DataFrame, domain: DataFrame, text: str = "text", domain_text: str = "text", keep: list[str] | None = None, dict_bytes: int = 112_640, longest: int = 64, level: int = 3) -> DataFrame:
+    """Scores every row of docs against the texts of the domain; the general dictionary is made of docs themselves.
 
     Null and empty texts have the same size under both: score 0. An empty domain leaves its dictionary blank; repeated
     rows are counted and scored one by one; an empty table gives an empty result. Columns named as a measure give way.
     """
-    # Only ids are shuffled to mark the domain; a hot id can't be, as each side has it once.
-    ids = in_domain.select(in_domain[doc_id].alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__in", F.lit(True))
-    marked = docs.select(docs[doc_id], docs[text]).join(ids, docs[doc_id] == F.col("__id"), "left").select(docs[text].alias("text"), F.col("__in").isNotNull().alias("inside"))
-    counts = staged(word_counts(marked, "text", "inside"), "words")
-    made = dictionary(counts, "domain", dict_bytes, longest), dictionary(counts, "general", dict_bytes, longest)
-    discard(counts)
-    return score(docs, *made, text=text, keep=keep if keep is not None else [doc_id], level=level)
+    made = dictionary(domain, domain_text, dict_bytes, longest), dictionary(docs, text, dict_bytes, longest)
+    return score(docs, *made, text=text, keep=keep, level=level)

@@ -6,8 +6,9 @@ from .lmscore import compression_score
 
 
 def op2_compression_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return compression_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good)
+    """The domain is talk: the texts of conversations."""
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return compression_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), talk, keep=["doc_id"])
 
 
 QUERIES = {"op2_compression_cross_entropy": op2_compression_cross_entropy}
