@@ -1,4 +1,377 @@
-"""Queries of the archive operators over the shared tables, and the same in DuckDB's SQL."""
+"""Queries of the archive operators over the shared tables, and the same in DuckDB's SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables have no HTTP headers; statuses, redirects and revisits are derived from their keys, the same way in
+both engines: see STATUS, the graph and the events below.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from archloom.functions import headers as H
+from archloom.functions import html as P
+from archloom.functions import url as U
+from archloom.functions.charset import declared_charset, decoder
+from archloom.functions.icons import rank_columns
+from archloom.functions.lang import language_codes
+from archloom.functions.postquery import url_keys
+from archloom.operators import captures as C
+from archloom.operators.graph import closure
+from archloom.operators.metadata import scraper, tags
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Scalars of URLs
+
+_P = r"'(?is)^(?:([a-z][a-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
+_PARTS = ", ".join(f"regexp_extract(url, {_P}, {i + 1}) AS {n}" for i, n in enumerate(("scheme", "netloc", "path", "query", "fragment")))
+_HOST = f"lower(regexp_replace(regexp_replace(regexp_extract(url, {_P}, 2), '^.*@', ''), ':\\d*$', ''))"
+_PATH = f"regexp_replace(regexp_extract(url, {_P}, 3), '/{{2,}}', '/', 'g')"
+_KEY = f"{_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || CASE WHEN regexp_extract(url, {_P}, 4) = '' THEN '' ELSE '?' || regexp_extract(url, {_P}, 4) END"
+_STATUS = "CASE page_id % 10 WHEN 0 THEN 301 WHEN 1 THEN 404 WHEN 2 THEN 302 WHEN 3 THEN 500 WHEN 4 THEN 201 ELSE 200 END"
+
+
+@query(f"SELECT page_id, {_PARTS} FROM pages")
+def url_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", *[U.part(F.col("url"), n).alias(n) for n in ("scheme", "netloc", "path", "query", "fragment")])
+
+
+@query(f"SELECT page_id, {_KEY} AS key FROM pages")
+def url_normalized_native(spark, d):
+    return table(spark, d, "pages").select("page_id", U.normalized_native(F.col("url")).alias("key"))
+
+
+@query(f"SELECT page_id, {_KEY} AS key FROM pages")
+def url_normalized_full(spark, d):
+    """On these URLs, which have no escapes, all rules give what the native ones give."""
+    return table(spark, d, "pages").select("page_id", U.normalized("url").alias("key"))
+
+
+@query("SELECT page_id, 'http' || CASE WHEN starts_with(url, 'https') THEN 's' ELSE '' END || '://' || regexp_extract(url, '://([^/?#]*)', 1) || '/up' AS target FROM pages")
+def url_resolved(spark, d):
+    return table(spark, d, "pages").select("page_id", U.resolved("url", F.lit("/up")).alias("target"))
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages WHERE suffix(regexp_extract(url, {_P}, 2), 'example.org') OR suffix(regexp_extract(url, {_P}, 2), 'n.example.com')")
+def include_domains(spark, d):
+    p = table(spark, d, "pages")
+    return p.where(U.in_domains(F.col("url"), ["example.org", "n.example.com"])).select("page_id", U.hostname(F.col("url")).alias("host"))
+
+
+@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'http://') OR starts_with(url, 'https://')")
+def http_only(spark, d):
+    p = table(spark, d, "pages")
+    return p.where(U.is_http(F.col("url"))).select("page_id", "url")
+
+
+# Status, types, modes
+
+PAGE_STATUS = F.expr(_STATUS)
+
+
+@query(f"WITH s AS (SELECT page_id, {_STATUS} AS status FROM pages) SELECT *, status IN (200, 201, 202, 203, 301, 302, 307, 308) AS processable, status IN (301, 302, 307, 308) AS redirect FROM s")
+def status_classes(spark, d):
+    s = table(spark, d, "pages").select("page_id", PAGE_STATUS.alias("status"))
+    return s.select("page_id", "status", H.processable(F.col("status")).alias("processable"), H.redirect(F.col("status")).alias("redirect"))
+
+
+@query(f"SELECT page_id, {_STATUS} AS status FROM pages")
+def status_parsed(spark, d):
+    line = F.concat(F.lit("HTTP/1.1 "), PAGE_STATUS.cast("string"), F.lit(" Some Reason"))
+    return table(spark, d, "pages").select("page_id", H.status_code(line).alias("status"))
+
+
+_MIME = "CASE page_id % 7 WHEN 0 THEN 'text/css' WHEN 1 THEN 'application/json' WHEN 2 THEN 'text/javascript' WHEN 3 THEN 'image/png' WHEN 4 THEN 'application/pdf' ELSE 'text/html' END"
+_RT = "CASE page_id % 5 WHEN 0 THEN ' Document' WHEN 1 THEN 'script' WHEN 2 THEN 'fetch' WHEN 3 THEN 'stylesheet' ELSE '' END"
+_METHOD = "CASE WHEN page_id % 11 = 0 THEN 'POST' WHEN page_id % 13 = 0 THEN 'PUT' ELSE 'GET' END"
+
+
+@query(f"""WITH x AS (SELECT page_id, {_MIME} AS mime, lower(trim({_RT})) AS rt, {_METHOD} AS method, CASE WHEN page_id % 3 = 0 THEN url || '.json' ELSE url END AS path FROM pages)
+SELECT page_id, CASE WHEN rt = '' THEN
+  CASE WHEN mime = 'text/html' THEN CASE WHEN method = 'POST' THEN 'none' ELSE 'html' END WHEN mime = 'text/css' THEN 'css' WHEN mime = 'text/javascript' THEN CASE WHEN suffix(path, '.json') THEN 'json' ELSE 'javascript' END WHEN mime = 'application/json' THEN 'json' ELSE 'none' END
+  WHEN rt IN ('document', 'fetch') AND mime = 'text/html' THEN CASE WHEN method = 'GET' THEN 'html' ELSE 'none' END WHEN rt = 'stylesheet' THEN 'css'
+  WHEN rt IN ('script', 'fetch') AND (mime = 'application/json' OR suffix(path, '.json')) THEN 'json' WHEN rt = 'script' AND mime = 'text/javascript' THEN 'javascript' ELSE 'none' END AS mode FROM x""")
+def mime_mode(spark, d):
+    x = table(spark, d, "pages").select("page_id", F.expr(_MIME).alias("mime"), F.expr(_RT).alias("rt"), F.expr(_METHOD).alias("method"), F.expr("CASE WHEN page_id % 3 = 0 THEN url || '.json' ELSE url END").alias("path"))
+    return x.select("page_id", H.rewrite_mode(F.col("rt"), F.col("mime"), F.col("method"), F.col("path")).alias("mode"))
+
+
+@query(f"SELECT page_id, {_MIME} AS mime, starts_with({_MIME}, 'text/html') OR starts_with({_MIME}, 'application/pdf') AS front FROM pages")
+def front_articles(spark, d):
+    ct = F.concat(F.expr(_MIME), F.lit("; charset=utf-8"))
+    return table(spark, d, "pages").select("page_id", H.mime_type(ct).alias("mime"), H.is_front(H.mime_type(ct)).alias("front"))
+
+
+@query("SELECT page_id, coalesce(CASE WHEN page_id % 4 = 0 THEN url || '?__wb_method=POST' END, CASE WHEN page_id % 3 <> 0 THEN url END, 'None') AS url FROM pages")
+def record_urls(spark, d):
+    p = table(spark, d, "pages")
+    key, uri = F.expr("CASE WHEN page_id % 4 = 0 THEN url || '?__wb_method=POST' END"), F.expr("CASE WHEN page_id % 3 <> 0 THEN url END")
+    return p.select("page_id", H.record_url(key, uri).alias("url"))
+
+
+# First and last wins, sets
+
+_EV = "CASE event_type WHEN 'view' THEN 200 WHEN 'purchase' THEN 201 WHEN 'click' THEN 302 WHEN 'signup' THEN 404 ELSE 500 END"
+EVENT_ORDER = F.struct("ts", "event_id")
+
+
+def events(spark, d):
+    return table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("path"), "event_type", F.expr(_EV).alias("status"))
+
+
+@query(f"SELECT user_id AS path, event_id, {_EV} AS status FROM events WHERE {_EV} IN (200, 201) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def first_wins_items(spark, d):
+    e = events(spark, d)
+    return C.first_wins(e.where(H.processable(F.col("status")) & ~H.redirect(F.col("status"))), "path", EVENT_ORDER, "event_id", "status").select("path", "event_id", "status")
+
+
+@query("SELECT user_id AS path, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def last_wins(spark, d):
+    return C.last_wins(events(spark, d), "path", EVENT_ORDER, "event_id")
+
+
+@query(f"SELECT DISTINCT user_id AS path FROM events WHERE {_EV} IN (200, 201) AND event_id % 3 = 0")
+def expected_set(spark, d):
+    return events(spark, d).where(F.col("status").isin(200, 201) & (F.col("event_id") % 3 == 0)).select("path").distinct()
+
+
+@query(f"SELECT event_id, user_id AS path FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE {_EV} IN (200, 201) AND event_id % 37 = 0)")
+def expected_anti(spark, d):
+    e = events(spark, d)
+    has = e.where(F.col("status").isin(200, 201) & (F.col("event_id") % 37 == 0)).select("path").distinct()
+    return e.join(has, "path", "left_anti").select("event_id", "path")
+
+
+@query(f"""SELECT user_id AS path, count(*)::BIGINT AS n, sum(CASE WHEN {_EV} IN (200, 201) THEN 1 ELSE 0 END)::BIGINT AS entries, sum(CASE WHEN {_EV} = 302 THEN 1 ELSE 0 END)::BIGINT AS redirects FROM events GROUP BY user_id""")
+def counts(spark, d):
+    e = events(spark, d)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return e.groupBy("path").agg(F.count("*").alias("n"), n(F.col("status").isin(200, 201)).alias("entries"), n(H.redirect(F.col("status"))).alias("redirects"))
+
+
+@query(f"""WITH r AS (SELECT user_id AS src, arg_min(event_id % 150, (ts, event_id)) AS dst FROM events WHERE {_EV} = 404 AND event_id % 150 <> user_id GROUP BY user_id),
+i AS (SELECT DISTINCT user_id FROM events WHERE {_EV} = 201 AND event_id % 5 = 0)
+SELECT src, dst FROM r WHERE src NOT IN (SELECT user_id FROM i) AND dst IN (SELECT user_id FROM i)""")
+def revisit_alias(spark, d):
+    e = events(spark, d).withColumn("dst", F.col("event_id") % 150)
+    r = C.first_wins(e.where((F.col("status") == 404) & (F.col("dst") != F.col("path"))).withColumnRenamed("path", "src"), "src", EVENT_ORDER, "dst")
+    i = e.where((F.col("status") == 201) & (F.col("event_id") % 5 == 0)).select("path").distinct()
+    return C.aliases(r, i, r.select("src").limit(0))
+
+
+@query("""WITH o AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations)
+SELECT conv_id, turn, next_turn FROM o WHERE role = 'user' AND after = 'assistant'""")
+def adjacent_pairs(spark, d):
+    c = table(spark, d, "conversations")
+    return C.adjacent_pairs(c, "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant").select("conv_id", "turn", "next_turn")
+
+
+# Redirect graph: pages point at the next, every fiftieth back
+
+_G = "SELECT page_id AS src, CASE WHEN page_id % 50 = 43 THEN page_id - 2 ELSE page_id + 1 END AS dst FROM pages WHERE page_id % 4 <> 0"
+_E = "SELECT page_id AS path FROM pages WHERE page_id % 4 = 0 AND page_id % 20 <> 0"
+_WALK = f"""WITH RECURSIVE g AS ({_G}), e AS ({_E}), v AS (SELECT src, dst FROM g WHERE dst IN (SELECT path FROM e) UNION SELECT g.src, g.dst FROM g JOIN v ON g.dst = v.src)"""
+
+
+def _graph(spark, d):
+    p = table(spark, d, "pages")
+    dst = F.when(F.col("page_id") % 50 == 43, F.col("page_id") - 2).otherwise(F.col("page_id") + 1)
+    return p.where("page_id % 4 <> 0").select(F.col("page_id").alias("src"), dst.alias("dst")), p.where("page_id % 4 = 0 AND page_id % 20 <> 0").select(F.col("page_id").alias("path"))
+
+
+@query(f"{_WALK} SELECT src, dst FROM v")
+def redirect_closure(spark, d):
+    return closure(*_graph(spark, d)).where("reason = 'ok'").select("src", "dst")
+
+
+@query(f"""{_WALK}, w AS (SELECT src, dst AS at, 1 AS n FROM g WHERE src NOT IN (SELECT src FROM v) UNION ALL SELECT w.src, g.dst, n + 1 FROM w JOIN g ON w.at = g.src WHERE n < 60)
+SELECT src, 'ok' AS reason FROM v UNION ALL SELECT src, CASE WHEN max(n) = 60 THEN 'loop' ELSE 'missing_target' END FROM w GROUP BY src""")
+def redirect_reasons(spark, d):
+    return closure(*_graph(spark, d)).select("src", "reason")
+
+
+@query(f"{_WALK} SELECT v.src, v.dst, v.dst IN (SELECT path FROM e) AS direct FROM v")
+def redirect_one_hop(spark, d):
+    edges, has = _graph(spark, d)
+    kept = closure(edges, has).where("reason = 'ok'")
+    return kept.join(has.withColumn("direct", F.lit(True)), kept.dst == has.path, "left").select("src", "dst", F.coalesce("direct", F.lit(False)).alias("direct"))
+
+
+@query(f"{_WALK} SELECT path FROM e UNION SELECT src FROM v")
+def expected_with_redirects(spark, d):
+    edges, has = _graph(spark, d)
+    return has.union(closure(edges, has).where("reason = 'ok'").select("src")).distinct()
+
+
+# Dates and metadata
+
+@query("SELECT strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day, strftime(min(ts), '%Y-%m-%d') || CASE WHEN min(ts::DATE) = max(ts::DATE) THEN '' ELSE ',' || strftime(max(ts), '%Y-%m-%d') END AS content_date FROM events WHERE event_type <> 'error'")
+def content_date(spark, d):
+    day = H.warc_date(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    r = table(spark, d, "events").where("event_type <> 'error'").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    return r.select(F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), H.content_dates(F.col("first_day"), F.col("last_day")).alias("content_date"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(['_ftindex:yes', '_category:other'], [x for x in [trim(y) for y in string_split(source || '; ' || lang || ' ;;' || source, ';')] if x <> '']))), ';') AS tags FROM documents")
+def tags_set(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(tags(F.concat("source", F.lit("; "), "lang", F.lit(" ;;"), "source")), ";").alias("tags"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE 'eng' END AS code FROM documents")
+def lang_normalized(spark, d):
+    return table(spark, d, "documents").select("doc_id", language_codes(F.col("lang")).alias("code"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng,fra' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu,fra' ELSE 'spa,fra' END AS codes FROM documents")
+def language_dedupe(spark, d):
+    return table(spark, d, "documents").select("doc_id", language_codes(F.concat("lang", F.lit(", French,patois,"), "lang")).alias("codes"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY (least(p_size, p_partkey % 60) = 48) DESC, least(p_size, p_partkey % 60) DESC, p_partkey)::INT AS rank FROM part QUALIFY rank <= 20")
+def icon_rank(spark, d):
+    w, h = F.col("p_size"), F.col("p_partkey") % 60
+    best = table(spark, d, "part").orderBy(*rank_columns(w, h), "p_partkey").limit(20)  # a top-k report; the rank numbers these few
+    return best.select("p_partkey", F.row_number().over(Window.orderBy(*rank_columns(w, h), F.col("p_partkey"))).alias("rank"))
+
+
+@query("SELECT page_id, (CASE WHEN page_id % 2 = 0 THEN 'engine' ELSE 'engine, soft ' || page_id END) || CASE WHEN page_id % 3 = 0 THEN ', x' ELSE '' END AS scraper FROM pages")
+def scraper_name(spark, d):
+    soft = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("soft "), F.col("page_id").cast("string")))
+    return table(spark, d, "pages").select("page_id", scraper(F.lit("engine"), soft, F.when(F.col("page_id") % 3 == 0, "x").otherwise("")).alias("scraper"))
+
+
+# Page content
+
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
+def html_title(spark, d):
+    return table(spark, d, "pages").select("page_id", P.title_native(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, regexp_replace(replace({_TITLE}, '&quot;', '\"'), '&amp;?', '&', 'g') AS title, regexp_extract(html, '<html lang=\"([^\"]+)\"', 1) AS lang FROM pages")
+def html_head(spark, d):
+    h = table(spark, d, "pages").select("page_id", P.head("html").alias("h"))
+    return h.select("page_id", "h.title", "h.lang")
+
+
+@query(f"SELECT page_id, CASE WHEN length({_TITLE}) > 30 THEN substr({_TITLE}, 1, 29) || '…' WHEN {_TITLE} = '' THEN 'Untitled' ELSE {_TITLE} END AS title FROM pages")
+def title_truncate(spark, d):
+    return table(spark, d, "pages").select("page_id", P.cut_title(P.title_native(F.col("html"))).alias("title"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<html[^>]*\\slang=\"([^\"]+)\"', 1) AS lang FROM pages")
+def html_lang(spark, d):
+    return table(spark, d, "pages").select("page_id", P.lang_native(F.col("html")).alias("lang"))
+
+
+@query("SELECT page_id, 'utf-8' AS charset FROM pages WHERE contains(html, 'charset=\"utf-8\"')")
+def html_charset(spark, d):
+    return table(spark, d, "pages").select("page_id", declared_charset(F.substring("html", 1, 1024)).alias("charset")).where("charset IS NOT NULL")
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
+def html_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(P.links_native(F.col("html"))).alias("link"))
+
+
+@query(f"""WITH l AS (SELECT page_id, {_HOST} || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS target FROM pages), k AS (SELECT DISTINCT {_HOST} || '/the' AS target FROM pages WHERE page_id % 2 = 0)
+SELECT page_id, target, target IN (SELECT target FROM k) AS internal FROM l""")
+def internal_links(spark, d):
+    """Which links lead to keys of the archive: links are exploded and joined, so the set of keys may be of any size."""
+    p = table(spark, d, "pages")
+    links = p.select("page_id", U.hostname(F.col("url")).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("l")).select("page_id", F.concat("host", "l").alias("target"))
+    keys = p.where("page_id % 2 = 0").select(F.concat(U.hostname(F.col("url")), F.lit("/the")).alias("target")).distinct().withColumn("internal", F.lit(True))
+    return links.join(keys, "target", "left").select("page_id", "target", F.coalesce("internal", F.lit(False)).alias("internal"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS digest FROM documents")
+def sha256_digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", H.digest(F.col("text").cast("binary")).alias("digest"))
+
+
+
+
+@query("SELECT doc_id, left('http://example.com/?__wb_method=POST&' || left('__wb_post_data=' || base64(encode(text)), 4096), 5000) AS key FROM documents WHERE strlen(text) <= 8192")
+def post_base64(spark, d):
+    t = table(spark, d, "documents").where("octet_length(text) <= 8192")
+    key = url_keys(F.lit("POST"), F.lit("application/octet-stream"), F.lit(None).cast("string"), F.col("text").cast("binary"), F.lit("http://example.com/"))
+    return t.select("doc_id", key.alias("key"))
+
+
+@query("SELECT event_id, 'http://example.com/e?id=' || event_id || '&__wb_method=PUT&' || regexp_extract(props, '\"(\\w+)\"', 1) || '=' || regexp_extract(props, ':\\s*(-?\\d+)', 1) AS key FROM events")
+def post_query(spark, d):
+    body = F.col("props").cast("binary")
+    url = F.concat(F.lit("http://example.com/e?id="), F.col("event_id").cast("string"))
+    key = url_keys(F.lit("PUT"), F.lit("application/json"), F.octet_length("props").cast("string"), body, url)
+    return table(spark, d, "events").select("event_id", key.alias("key"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def decode_text(spark, d):
+    """Texts encoded and decoded again by the charset that the header declares."""
+    t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-16BE")).otherwise(F.encode("text", "UTF-8")).alias("b"), F.when(F.col("doc_id") % 2 == 0, "utf-16-be").alias("c"))
+    return t.select("doc_id", decoder(sniff=False)("b", "c")["text"].alias("text"))
+
+
+@query("SELECT page_id, u AS folders FROM (SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(replace(html, 'href=\"/', 'href=\"../'), '\\.\\./(.*?)/', 1))), '|') AS u FROM pages)")
+def folder_list(spark, d):
+    return table(spark, d, "pages").select("page_id", P.folder_list(F.regexp_replace("html", 'href="/', 'href="../')).alias("folders"))
+
+
+@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT regexp_matches(line, '^(?:The|Der|De)\\b')")
+def log_filter(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.where(~F.col("line").rlike(r"^(?:The|Der|De)\b"))
+
+
+@query()
+def rewrite_html(spark, d):
+    from archloom.plans.conversion import rewrite_pages
+
+    p = table(spark, d, "pages").withColumn("path", U.normalized("url"))
+    return rewrite_pages(p.select(F.col("page_id").alias("seq"), "url", "path", F.col("html").cast("binary").alias("content"), F.lit("html").alias("mode"), F.lit(None).cast("string").alias("charset")), p.select("path")).select("path", "title", F.length("content").alias("bytes"))
+
+
+# The entries of an archive
+
+_WIN = f"SELECT {_KEY} AS path, arg_min(page_id, page_id) AS page_id FROM pages WHERE {_STATUS} IN (200, 201) GROUP BY 1"
+
+
+@query(f"""WITH i AS ({_WIN}), r AS (SELECT {_KEY} AS path, page_id FROM pages WHERE {_STATUS} IN (301, 302))
+SELECT path, 'item' AS kind, {_TITLE} AS title FROM i JOIN pages USING (page_id) UNION ALL SELECT path, 'redirect', NULL FROM r UNION ALL SELECT * FROM (VALUES ('_static/wombat.js', 'static', NULL), ('_static/wombatSetup.js', 'static', NULL), ('_static/__wb_module_decl.js', 'static', NULL))""")
+def entries_union(spark, d):
+    p = table(spark, d, "pages").select("page_id", U.normalized("url").alias("path"), PAGE_STATUS.alias("status"), P.title_native(F.col("html")).alias("title"))
+    ok = p.where(H.processable(F.col("status")))
+    item = C.first_wins(ok.where(~H.redirect(F.col("status"))), "path", F.col("page_id"), "title").select("path", F.lit("item").alias("kind"), "title")
+    redirect = ok.where(H.redirect(F.col("status"))).select("path", F.lit("redirect").alias("kind"), F.lit(None).cast("string").alias("title"))
+    static = spark.createDataFrame([(f"_static/{n}", "static", None) for n in ("wombat.js", "wombatSetup.js", "__wb_module_decl.js")], "path string, kind string, title string")
+    return item.unionByName(redirect).unionByName(static)
+
+
+@query(f"""WITH i AS ({_WIN}), m AS (SELECT {_TITLE} AS title, regexp_extract(html, '<html lang="([^"]+)"', 1) AS lang FROM pages WHERE page_id = (SELECT min(page_id) FROM i))
+SELECT (SELECT count(*) FROM i)::BIGINT AS entries, title, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE 'spa' END AS language FROM m""")
+def metadata_row(spark, d):
+    p = table(spark, d, "pages").select("page_id", U.normalized("url").alias("path"), PAGE_STATUS.alias("status"), P.title_native(F.col("html")).alias("title"), P.lang_native(F.col("html")).alias("lang"))
+    ok = C.first_wins(p.where(F.col("status").isin(200, 201)), "path", F.col("page_id"), "page_id", "title", "lang")
+    return ok.agg(F.count("*").alias("entries"), F.min_by("title", "page_id").alias("title"), language_codes(F.min_by("lang", "page_id")).alias("language"))
