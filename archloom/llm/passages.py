@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,12 +136,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: in
     return source.mapInArrow(run, "key long, shingles array<long>")
 
 
-def _verify(least: float, group: pd.DataFrame) -> pd.DataFrame:
-    """Links between the paragraphs of one or two blocks of a band: of pairs with Jaccard >= least, a spanning forest."""
-    sets = [np.asarray(s) for s in group["shingles"]]
-    homes = group["doc_id"].tolist()
-    keys, side = group["key"].tolist(), group["side"].tolist()
-    a, b = [i for i, s in enumerate(side) if s != 2], [i for i, s in enumerate(side) if s != 1]
+def _forest(keys: list[int], homes: list, sides: list[int], sets: list[frozenset], least: float) -> list[tuple[int, int]]:
+    """Links between the paragraphs of one or two blocks of a band: of pairs of different documents with Jaccard >= least, a spanning forest."""
     root = list(range(len(keys)))
 
     def find(x: int) -> int:
@@ -151,22 +146,62 @@ def _verify(least: float, group: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    ids, flat = {}, []
-    for s in sets:
-        flat.append([ids.setdefault(int(x), len(ids)) for x in s])
+    out = []
+
+    def link(x: int, y: int) -> None:
+        if keys[x] != keys[y] and homes[x] != homes[y] and find(x) != find(y):
+            root[find(x)] = find(y)
+            out.append((keys[x], keys[y]))
+
+    if len(keys) <= 16:
+        for x in range(len(keys)):
+            for y in range(x):
+                if (sides[x] != sides[y] or not sides[x]) and homes[x] != homes[y]:
+                    both = len(sets[x] & sets[y])
+                    if both >= least * (len(sets[x]) + len(sets[y]) - both):
+                        link(x, y)
+        return out
+    left, right = [i for i, s in enumerate(sides) if s != 2], [i for i, s in enumerate(sides) if s != 1]
+    ids: dict[int, int] = {}
+    flat = [[ids.setdefault(x, len(ids)) for x in s] for s in sets]
     grid = np.zeros((len(sets), len(ids)), np.float32)
     for i, f in enumerate(flat):
         grid[i, f] = 1
     size = grid.sum(axis=1)
-    both = grid[a] @ grid[b].T
-    jac = both / (size[a][:, None] + size[b][None, :] - both)
-    out = []
-    for i, j in zip(*np.nonzero(jac >= least)):
-        x, y = a[i], b[j]
-        if homes[x] != homes[y] and find(x) != find(y):
-            root[find(x)] = find(y)
-            out.append((keys[x], keys[y]))
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+    both = grid[left] @ grid[right].T
+    for i, j in zip(*np.nonzero(both >= least * (size[left][:, None] + size[right][None, :] - both) - 1e-4)):
+        link(left[i], right[j])
+    return out
+
+
+def _verify(least: float):
+    """Over rows (value, a, b, key, doc_id, side, shingles) sorted by (value, a, b): the links of each such group. A group is at most two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, ([], [], [], [])
+        found: list[tuple[int, int]] = []
+
+        def emit() -> pa.RecordBatch:
+            u, v = zip(*found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for value, a, b, key, doc, side, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if (value, a, b) != at:
+                    if len(group[0]) > 1:
+                        found += _forest(*group, least)
+                    at, group = (value, a, b), ([], [], [], [])
+                for column, x in zip(group, (key, doc, side, frozenset(shingles))):
+                    column.append(x)
+            if found:
+                yield emit()
+        if len(group[0]) > 1:
+            found += _forest(*group, least)
+        if found:
+            yield emit()
+
+    return run
 
 
 def near_links(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, length: int, gap: int, least: float, block: int) -> DataFrame:
@@ -184,7 +219,8 @@ def near_links(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, len
     # Block i meets every block j: as the smaller or the larger of the two.
     spread = hits.select("key", "doc_id", "value", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
     spread = spread.select("key", "doc_id", "value", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
-    return spread.join(sets, "key").groupBy("value", "a", "b").applyInPandas(lambda g: _verify(least, g), "u long, v long")
+    rows = spread.join(sets, "key").select("value", "a", "b", "key", "doc_id", "side", "shingles")
+    return rows.repartition("value", "a", "b").sortWithinPartitions("value", "a", "b").mapInArrow(_verify(least), "u long, v long")
 
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 30, gap: int = 21, jaccard: float = 0.7, block: int = 256, coarse: int = 3) -> DataFrame:
