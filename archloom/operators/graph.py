@@ -20,20 +20,21 @@ def closure(edges: DataFrame, expected: DataFrame) -> DataFrame:
     rest = edges.join(expected, edges.src == expected.path, "left_anti")
     # to: where 2**round steps lead; reason: set once that is settled.
     now = rest.join(ends, rest.dst == ends.at, "left").select("src", "dst", F.col("dst").alias("to"), F.col("found").alias("reason"))
-    now = _cut(now)
+    now = cut_lineage(now)
     rows = now.count()
     for step_no in range(64):
         step = now.select(F.col("src").alias("s"), F.col("to").alias("t"), F.col("reason").alias("r"))
         open_rows = now.where("reason IS NULL").join(step, F.col("to") == F.col("s"), "left")
         moved = open_rows.select("src", "dst", F.coalesce("t", "to").alias("to"), F.when(F.col("s").isNull(), "missing_target").otherwise(F.col("r")).alias("reason"))
-        now = _cut(now.where("reason IS NOT NULL").union(moved))
+        now = cut_lineage(now.where("reason IS NOT NULL").union(moved))
         # Once the steps outnumber the rows, what is still open runs in a circle.
         if 2 ** (step_no + 1) > rows or now.where("reason IS NULL").isEmpty():
             break
     return now.select("src", "dst", F.coalesce("reason", F.lit("loop")).alias("reason")).union(known.select("src", "dst", F.lit("already_expected")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back. The folder is the session's spark.checkpoint.dir; a local one only where that is unset."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from archloom.functions import rewrite as R
 from archloom.functions.charset import to_text
 from archloom.functions.url import normalize, resolve
+from archloom.operators.graph import closure, cut_lineage
 
 
 def page_links(url: str, text: str, mode: str) -> set[str]:
@@ -117,12 +118,10 @@ def modules_of(rows: DataFrame, **decoding) -> DataFrame:
 
     now = rows.where("mode = 'html'").select("url", "content", "charset").mapInArrow(named, "path string").distinct()
     edges = rows.where("mode = 'javascript'").select("path", "url", "content", "charset").mapInArrow(imports, "src string, dst string").distinct()
-    from archloom.operators.graph import _cut
-
-    now, edges, n = _cut(now), _cut(edges), -1
+    now, edges, n = cut_lineage(now), cut_lineage(edges), -1
     while (size := now.count()) != n:
         n = size
-        now = _cut(now.union(edges.join(now, edges.src == now.path, "left_semi").select("dst")).distinct())
+        now = cut_lineage(now.union(edges.join(now, edges.src == now.path, "left_semi").select("dst")).distinct())
     return now
 
 
@@ -148,3 +147,131 @@ def main_page(candidates: list[dict], wanted: str | None) -> tuple[str, dict] |
             continue
         return main, c
     return None
+
+
+class Unprocessable(Exception):
+    """The input has no main page, or nothing to show: exit code 4."""
+
+
+def convert(spark, config) -> dict[str, DataFrame]:
+    """Reads config.inputs and returns the tables items, edges, metadata and errors. Nothing is written but staged intermediate tables.
+
+    items: path, title, mimetype, content, is_front, kind, seq; edges: path, target, kind (redirect, alias); metadata: key, value; errors: seq, url, stage, message.
+    """
+    from archloom.functions import headers as H
+    from archloom.functions.html import cut_title, read_head
+    from archloom.functions.icons import Icon, ordered, probe
+    from archloom.functions.lang import parse_language
+    from archloom.operators import captures as C
+    from archloom.operators.metadata import DEFAULT_TAGS
+    from archloom.sources.warc import read_warc
+
+    records = read_warc(spark, config.inputs, payload="false")
+    caps = cut_lineage(C.captures(records))  # headers alone: read often, so kept
+    has, edges = C.expected(caps), cut_lineage(C.redirects(caps))
+    bad = caps.where("path IS NULL").select("seq", "url", F.lit("url").alias("stage"), F.lit("the URL has no key").alias("message"))
+    lost = caps.where("rec_type = 'revisit' AND refers_to IS NULL").select("seq", "url", F.lit("revisit").alias("stage"), F.lit("it refers to nothing").alias("message"))
+    broken = records.where("parse_error IS NOT NULL").select(F.struct("file_rank", "rec_idx").alias("seq"), F.col("file_path").alias("url"), F.lit("read").alias("stage"), F.col("parse_error").alias("message"))
+    if has.isEmpty():
+        raise Unprocessable("no entry")
+    kept = closure(edges.select("src", "dst"), has).where("reason IN ('ok', 'already_expected')")
+    redirect = edges.join(kept.select("src"), "src", "left_semi").select("src", "dst")
+
+    # The main page: candidates stream in order to the driver, which stops at the page; only one is held at a time.
+    wanted = normalize(config.url if config.url and config.url.count("/") > 2 else f"{config.url}/") if config.url else None
+    chosen = caps.where("path IS NOT NULL").select("seq", "path", "url", "rec_type", "status", "location", "mime", "payload_length", "charset", "has_http", (H.processable(F.col("status")) | ((F.col("rec_type") == "response") & ~F.col("has_http"))).alias("ok"))
+    if wanted is None:
+        relevant = chosen.where("ok AND rec_type = 'response' AND mime = 'text/html' AND payload_length > 0 AND (status = 200 OR status IS NULL)").orderBy("seq").limit(1)
+    else:
+        relevant = chosen.where(F.col("path").isin(_reach(caps, wanted)))
+    try:
+        found = main_page((r.asDict() for r in relevant.orderBy("seq").toLocalIterator()), wanted)
+    except ValueError as e:
+        raise Unprocessable(str(e)) from e
+    if not found:
+        raise Unprocessable("no main page")
+    main, row = found
+
+    full = read_warc(spark, config.inputs, types="response").select("file_rank", "rec_idx", "payload")
+    winners = C.items(caps, config.include_domains).withColumn("mode", H.rewrite_mode(F.col("resource_type"), F.col("mime"), F.col("method"), F.col("path")))
+    # Payloads meet their winners by place, after all that decides who wins.
+    body = winners.withColumn("file_rank", F.col("seq.file_rank")).drop("rec_idx").withColumn("rec_idx", F.col("seq.rec_idx")).join(full, ["file_rank", "rec_idx"]).select("seq", "url", "path", F.col("payload").alias("content"), "mode", "charset", "mime")
+    body = cut_lineage(body)
+    decoding = config.decoding()
+    modules = modules_of(body, **decoding)
+    done = rewrite_pages(body, has.union(redirect.select("src")), modules, bool(config.custom_css), **decoding)
+    done = cut_lineage(done.join(body.select("path", "mime", "url"), "path"))
+    failed = done.where("error IS NOT NULL").select("seq", "url", F.lit("rewrite").alias("stage"), F.col("error").alias("message"))
+    if not config.continue_on_error and not failed.isEmpty():
+        first = failed.orderBy("seq").first()
+        raise ValueError(f"{first.url}: {first.message}")
+    mime = F.when(F.col("mime") == "", "application/octet-stream").otherwise(F.col("mime"))
+    item = done.where("error IS NULL AND length(content) > 0").select("path", "title", mime.alias("mimetype"), "content", H.is_front(F.col("mime")).alias("is_front"), F.lit("payload").alias("kind"), "seq")
+    statics = [(f"_static/{n}", "", "text/javascript", b"// provided by the reader\n", False, "static", None) for n in ("wombat.js", "wombatSetup.js", "__wb_module_decl.js")]
+    if config.custom_css:
+        with open(config.custom_css, "rb") as f:
+            statics.append(("_static/custom.css", "", "text/css", f.read(), False, "static", None))
+    item = item.unionByName(spark.createDataFrame(statics, item.schema))
+    claimed = done.where("error IS NULL").select("path")  # an empty entry isn't written, but its key is taken
+    alias = C.aliases(C.revisits(caps, config.include_domains), claimed, redirect)
+    taken = redirect.join(claimed.withColumnRenamed("path", "src"), "src", "left_anti")
+    edge = taken.select(F.col("src").alias("path"), F.col("dst").alias("target"), F.lit("redirect").alias("kind")).union(alias.select("src", "dst", F.lit("alias")))
+
+    page, head = body.where(F.col("path") == main).select("content", "charset").first(), {"title": "", "icons": [], "lang": None}
+    if page is not None and row["mime"] in H.HTML_TYPES:
+        head = read_head(to_text(page.content, page.charset, **decoding))
+    icons = [normalize(resolve(row["url"], i)) for i in ([config.favicon] if config.favicon else head["icons"] or ["/favicon.ico"])]
+    images = []
+    for r in last_bodies(caps, full, [i for i in icons if i], row["seq"]):
+        if shape := probe(bytes(r.payload)):
+            images.append(Icon(r.path, shape[1], shape[2], bytes(r.payload), shape[0]))
+    images = sorted(images, key=lambda i: icons.index(i.url))
+    dates = caps.agg(F.date_format(F.min("date"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("b")).first()
+    soft = records.where("rec_type = 'warcinfo'").select(F.struct("file_rank", "rec_idx").alias("seq"), "file_path", "rec_idx").agg(F.min("seq")).first()[0]
+    software = _software(config.inputs, soft)
+    title = spark.range(1).select(cut_title(F.lit(config.title or head["title"]))).first()[0]
+    values = {
+        "Name": config.name, "Title": title, "Language": parse_language(config.lang or head["lang"] or ""), "Description": config.description, "LongDescription": config.long_description, "Creator": config.creator, "Publisher": config.publisher,
+        "Source": config.source, "Tags": ";".join(dict.fromkeys([*DEFAULT_TAGS, *[t.strip() for t in config.tags.split(";") if t.strip()]])), "Scraper": ", ".join(x for x in ("archloom", software, config.scraper_suffix.strip()) if x),
+        "X-ContentDate": None if dates.a is None else dates.a if dates.a == dates.b else f"{dates.a},{dates.b}", "MainPath": main,
+    }
+    rows = [(k, v.encode()) for k, v in values.items() if v]
+    if best := next(iter(ordered(images)), None):
+        rows.append(("Illustration", best.content))
+    return {"items": item, "edges": edge, "metadata": spark.createDataFrame(rows, "key string, value binary"), "errors": bad.union(lost).union(broken).union(failed)}
+
+
+def _reach(caps: DataFrame, start: str) -> list[str]:
+    """The keys that any capture of one key, or of those it redirects to, leads to: a lookup by key each step."""
+    moves = caps.where(F.col("status").isin(301, 302, 307) & F.col("location").isNotNull()).select("path", "url", "location")
+    seen, front = {start}, [start]
+    while front:
+        rows = moves.where(F.col("path").isin(front)).distinct().collect()  # the redirects of a few keys
+        front = sorted({k for r in rows if (k := normalize(resolve(r.url, r.location)))} - seen)
+        seen |= set(front)
+    return sorted(seen)
+
+
+def last_bodies(caps: DataFrame, full: DataFrame, paths: list[str], after) -> list:
+    """(path, payload) of the last capture of each of some paths, after a place in the order."""
+    if not paths:
+        return []
+    rows = caps.where(F.col("path").isin(paths) & (F.col("rec_type") == "response") & (F.col("status") == 200) & (F.col("seq") > F.struct(F.lit(after[0]), F.lit(after[1]))))
+    last = rows.groupBy("path").agg(F.max("seq").alias("seq")).select("path", F.col("seq.file_rank").alias("file_rank"), F.col("seq.rec_idx").alias("rec_idx"))
+    return last.join(full, ["file_rank", "rec_idx"]).select("path", "payload").collect()  # a handful of icons
+
+
+def _software(inputs: list[str], seq) -> str | None:
+    """The software line of the first warcinfo."""
+    from archloom.sources.warc import files_of, ordered, records
+
+    if seq is None:
+        return None
+    for i, r in enumerate(records(ordered(files_of(inputs))[seq[0]])):
+        if i == seq[1]:
+            for line in r.payload.decode("utf-8", "replace").splitlines():
+                name, _, value = line.partition(":")
+                if name.strip() == "software":
+                    return value.strip()
+            return None
+    return None
