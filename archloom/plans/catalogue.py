@@ -85,18 +85,20 @@ def http_only(spark, d):
 
 # Status, types, modes
 
-PAGE_STATUS = F.expr(_STATUS)
+
+def page_status():
+    return F.expr(_STATUS)
 
 
 @query(f"WITH s AS (SELECT page_id, {_STATUS} AS status FROM pages) SELECT *, status IN (200, 201, 202, 203, 301, 302, 307, 308) AS processable, status IN (301, 302, 307, 308) AS redirect FROM s")
 def status_classes(spark, d):
-    s = table(spark, d, "pages").select("page_id", PAGE_STATUS.alias("status"))
+    s = table(spark, d, "pages").select("page_id", page_status().alias("status"))
     return s.select("page_id", "status", H.processable(F.col("status")).alias("processable"), H.redirect(F.col("status")).alias("redirect"))
 
 
 @query(f"SELECT page_id, {_STATUS} AS status FROM pages")
 def status_parsed(spark, d):
-    line = F.concat(F.lit("HTTP/1.1 "), PAGE_STATUS.cast("string"), F.lit(" Some Reason"))
+    line = F.concat(F.lit("HTTP/1.1 "), page_status().cast("string"), F.lit(" Some Reason"))
     return table(spark, d, "pages").select("page_id", H.status_code(line).alias("status"))
 
 
@@ -131,7 +133,10 @@ def record_urls(spark, d):
 # First and last wins, sets
 
 _EV = "CASE event_type WHEN 'view' THEN 200 WHEN 'purchase' THEN 201 WHEN 'click' THEN 302 WHEN 'signup' THEN 404 ELSE 500 END"
-EVENT_ORDER = F.struct("ts", "event_id")
+
+
+def event_order():
+    return F.struct("ts", "event_id")
 
 
 def events(spark, d):
@@ -141,12 +146,12 @@ def events(spark, d):
 @query(f"SELECT user_id AS path, event_id, {_EV} AS status FROM events WHERE {_EV} IN (200, 201) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 def first_wins_items(spark, d):
     e = events(spark, d)
-    return C.first_wins(e.where(H.processable(F.col("status")) & ~H.redirect(F.col("status"))), "path", EVENT_ORDER, "event_id", "status").select("path", "event_id", "status")
+    return C.first_wins(e.where(H.processable(F.col("status")) & ~H.redirect(F.col("status"))), "path", event_order(), "event_id", "status").select("path", "event_id", "status")
 
 
 @query("SELECT user_id AS path, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def last_wins(spark, d):
-    return C.last_wins(events(spark, d), "path", EVENT_ORDER, "event_id")
+    return C.last_wins(events(spark, d), "path", event_order(), "event_id")
 
 
 @query(f"SELECT DISTINCT user_id AS path FROM events WHERE {_EV} IN (200, 201) AND event_id % 3 = 0")
@@ -173,7 +178,7 @@ i AS (SELECT DISTINCT user_id FROM events WHERE {_EV} = 201 AND event_id % 5 = 0
 SELECT src, dst FROM r WHERE src NOT IN (SELECT user_id FROM i) AND dst IN (SELECT user_id FROM i)""")
 def revisit_alias(spark, d):
     e = events(spark, d).withColumn("dst", F.col("event_id") % 150)
-    r = C.first_wins(e.where((F.col("status") == 404) & (F.col("dst") != F.col("path"))).withColumnRenamed("path", "src"), "src", EVENT_ORDER, "dst")
+    r = C.first_wins(e.where((F.col("status") == 404) & (F.col("dst") != F.col("path"))).withColumnRenamed("path", "src"), "src", event_order(), "dst")
     i = e.where((F.col("status") == 201) & (F.col("event_id") % 5 == 0)).select("path").distinct()
     return C.aliases(r, i, r.select("src").limit(0))
 
@@ -361,7 +366,7 @@ _WIN = f"SELECT {_KEY} AS path, arg_min(page_id, page_id) AS page_id FROM pages
 @query(f"""WITH i AS ({_WIN}), r AS (SELECT {_KEY} AS path, page_id FROM pages WHERE {_STATUS} IN (301, 302))
 SELECT path, 'item' AS kind, {_TITLE} AS title FROM i JOIN pages USING (page_id) UNION ALL SELECT path, 'redirect', NULL FROM r UNION ALL SELECT * FROM (VALUES ('_static/wombat.js', 'static', NULL), ('_static/wombatSetup.js', 'static', NULL), ('_static/__wb_module_decl.js', 'static', NULL))""")
 def entries_union(spark, d):
-    p = table(spark, d, "pages").select("page_id", U.normalized("url").alias("path"), PAGE_STATUS.alias("status"), P.title_native(F.col("html")).alias("title"))
+    p = table(spark, d, "pages").select("page_id", U.normalized("url").alias("path"), page_status().alias("status"), P.title_native(F.col("html")).alias("title"))
     ok = p.where(H.processable(F.col("status")))
     item = C.first_wins(ok.where(~H.redirect(F.col("status"))), "path", F.col("page_id"), "title").select("path", F.lit("item").alias("kind"), "title")
     redirect = ok.where(H.redirect(F.col("status"))).select("path", F.lit("redirect").alias("kind"), F.lit(None).cast("string").alias("title"))
@@ -372,6 +377,6 @@ def entries_union(spark, d):
 @query(f"""WITH i AS ({_WIN}), m AS (SELECT {_TITLE} AS title, regexp_extract(html, '<html lang="([^"]+)"', 1) AS lang FROM pages WHERE page_id = (SELECT min(page_id) FROM i))
 SELECT (SELECT count(*) FROM i)::BIGINT AS entries, title, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE 'spa' END AS language FROM m""")
 def metadata_row(spark, d):
-    p = table(spark, d, "pages").select("page_id", U.normalized("url").alias("path"), PAGE_STATUS.alias("status"), P.title_native(F.col("html")).alias("title"), P.lang_native(F.col("html")).alias("lang"))
+    p = table(spark, d, "pages").select("page_id", U.normalized("url").alias("path"), page_status().alias("status"), P.title_native(F.col("html")).alias("title"), P.lang_native(F.col("html")).alias("lang"))
     ok = C.first_wins(p.where(F.col("status").isin(200, 201)), "path", F.col("page_id"), "page_id", "title", "lang")
     return ok.agg(F.count("*").alias("entries"), F.min_by("title", "page_id").alias("title"), language_codes(F.min_by("lang", "page_id")).alias("language"))
