@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -156,6 +157,8 @@ class Unprocessable(Exception):
 def convert(spark, config) -> dict[str, DataFrame]:
     """Reads config.inputs and returns the tables items, edges, metadata and errors. Nothing is written but staged intermediate tables.
 
+    With config.verbose also missing: keys that links lead to and the archive hasn't.
+
     items: path, title, mimetype, content, is_front, kind, seq; edges: path, target, kind (redirect, alias); metadata: key, value; errors: seq, url, stage, message.
     """
     from archloom.functions import headers as H
@@ -193,24 +196,31 @@ def convert(spark, config) -> dict[str, DataFrame]:
     main, row = found
 
     full = read_warc(spark, config.inputs, types="response").select("file_rank", "rec_idx", "payload")
-    winners = C.items(caps, config.include_domains).withColumn("mode", H.rewrite_mode(F.col("resource_type"), F.col("mime"), F.col("method"), F.col("path")))
     # Payloads meet their winners by place, after all that decides who wins.
-    body = winners.withColumn("file_rank", F.col("seq.file_rank")).drop("rec_idx").withColumn("rec_idx", F.col("seq.rec_idx")).join(full, ["file_rank", "rec_idx"]).select("seq", "url", "path", F.col("payload").alias("content"), "mode", "charset", "mime")
-    body = cut_lineage(body)
-    decoding = config.decoding()
-    modules = modules_of(body, **decoding)
-    done = rewrite_pages(body, has.union(redirect.select("src")), modules, bool(config.custom_css), **decoding)
-    done = cut_lineage(done.join(body.select("path", "mime", "url"), "path"))
-    failed = done.where("error IS NOT NULL").select("seq", "url", F.lit("rewrite").alias("stage"), F.col("error").alias("message"))
-    if not config.continue_on_error and not failed.isEmpty():
-        first = failed.orderBy("seq").first()
-        raise ValueError(f"{first.url}: {first.message}")
+    decoding, among, body, done, failed = config.decoding(), caps, None, None, None
+    targets = has.union(redirect.select("src"))
+    while True:
+        winners = C.items(among, config.include_domains).withColumn("mode", H.rewrite_mode(F.col("resource_type"), F.col("mime"), F.col("method"), F.col("path")))
+        placed = winners.drop("rec_idx").withColumn("file_rank", F.col("seq.file_rank")).withColumn("rec_idx", F.col("seq.rec_idx"))
+        new = cut_lineage(placed.join(full, ["file_rank", "rec_idx"]).select("seq", "url", "path", F.col("payload").alias("content"), "mode", "charset", "mime"))
+        body = new if body is None else body.union(new)
+        made = rewrite_pages(new, targets, modules_of(body, **decoding), bool(config.custom_css), **decoding)
+        made = cut_lineage(made.join(new.select("path", "mime", "url"), "path"))
+        lost_now = made.where("error IS NOT NULL")
+        done = made if done is None else done.union(made)
+        failed = lost_now.select("seq", "url", F.lit("rewrite").alias("stage"), F.col("error").alias("message")) if failed is None else failed.union(lost_now.select("seq", "url", F.lit("rewrite"), "error"))
+        if lost_now.isEmpty():
+            break
+        if not config.continue_on_error:
+            first = lost_now.orderBy("seq").first()
+            raise ValueError(f"{first.url}: {first.error}")
+        # A capture that fails doesn't claim its key: the next one of the key has its turn.
+        among = cut_lineage(among.join(lost_now.select("path").distinct(), "path", "left_semi").join(lost_now.select("seq"), "seq", "left_anti"))
     mime = F.when(F.col("mime") == "", "application/octet-stream").otherwise(F.col("mime"))
     item = done.where("error IS NULL AND length(content) > 0").select("path", "title", mime.alias("mimetype"), "content", H.is_front(F.col("mime")).alias("is_front"), F.lit("payload").alias("kind"), "seq")
     statics = [(f"_static/{n}", "", "text/javascript", b"// provided by the reader\n", False, "static", None) for n in ("wombat.js", "wombatSetup.js", "__wb_module_decl.js")]
     if config.custom_css:
-        with open(config.custom_css, "rb") as f:
-            statics.append(("_static/custom.css", "", "text/css", f.read(), False, "static", None))
+        statics.append(("_static/custom.css", "", "text/css", _read(config.custom_css), False, "static", None))
     item = item.unionByName(spark.createDataFrame(statics, item.schema))
     claimed = done.where("error IS NULL").select("path")  # an empty entry isn't written, but its key is taken
     alias = C.aliases(C.revisits(caps, config.include_domains), claimed, redirect)
@@ -238,7 +248,21 @@ def convert(spark, config) -> dict[str, DataFrame]:
     rows = [(k, v.encode()) for k, v in values.items() if v]
     if best := next(iter(ordered(images)), None):
         rows.append(("Illustration", best.content))
-    return {"items": item, "edges": edge, "metadata": spark.createDataFrame(rows, "key string, value binary"), "errors": bad.union(lost).union(broken).union(failed)}
+    out = {"items": item, "edges": edge, "metadata": spark.createDataFrame(rows, "key string, value binary"), "errors": bad.union(lost).union(broken).union(failed)}
+    if config.verbose:
+        out["missing"] = links_of(body, **decoding).select(F.col("target").alias("path")).join(targets, "path", "left_anti").distinct()
+    return out
+
+
+def _read(place: str) -> bytes:
+    """A local file, or what an http(s) URL gives within ten seconds."""
+    if place.startswith(("http://", "https://")):
+        from urllib.request import urlopen
+
+        with urlopen(place, timeout=10) as r:
+            return r.read()
+    with open(os.path.expanduser(place), "rb") as f:
+        return f.read()
 
 
 def _reach(caps: DataFrame, start: str) -> list[str]:

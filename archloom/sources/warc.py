@@ -1,12 +1,13 @@
 """WARC and ARC records: a parser for files, plain or of gzip members, and a Spark data source.
 
 A file is one partition and is read as a stream; records are numbered in it. The source's options: ``paths`` (JSON list of files and folders),
-``payload`` (false leaves bodies out), ``types`` (comma-separated record types to keep), ``max_record_bytes``.
+``payload`` (false leaves bodies out), ``digest`` (true adds that of each record's bytes in the file), ``types`` (comma-separated record types to keep), ``max_record_bytes``.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import json
 import os
@@ -34,7 +35,6 @@ class Record:
     status_line: str | None = None
     http: list[tuple[str, str]] | None = None
     payload: bytes = b""
-    raw_digest: str | None = None
     offset: int = 0
     length: int = 0
     method: str | None = None
@@ -270,6 +270,19 @@ def paired(source: Iterator[Record]) -> Iterator[Record]:
         yield held
 
 
+def digest_of(path: str, offset: int, length: int) -> str:
+    """sha256: and the hex digest of a stretch of a file; ValueError if the file ends before."""
+    out, left = hashlib.sha256(), length
+    with open(path, "rb") as f:
+        f.seek(offset)
+        while left and (part := f.read(min(left, 1 << 16))):
+            out.update(part)
+            left -= len(part)
+    if left:
+        raise ValueError(f"{path}: {left} bytes of the record at {offset} are missing")
+    return "sha256:" + out.hexdigest()
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -283,6 +296,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.files = ordered(files_of(json.loads(options["paths"])))
         self.payload = options.get("payload", "true").lower() != "false"
+        self.digest = options.get("digest", "false").lower() == "true"
         self.types = {t for t in options.get("types", "").split(",") if t}
         self.most = int(options.get("max_record_bytes", 1 << 31))
 
@@ -297,7 +311,7 @@ class WarcReader(DataSourceReader):
                     continue
                 yield (
                     partition.path, partition.rank, i, r.offset, r.length, r.rec_type, pairs(r.headers), r.status_line, None if r.http is None else pairs(r.http), r.method, r.urlkey, r.request_body,
-                    r.payload if self.payload else None, len(r.payload), r.raw_digest, r.error,
+                    r.payload if self.payload else None, len(r.payload), digest_of(partition.path, r.offset, r.length) if self.digest else None, r.error,
                 )
         except (OSError, EOFError, gzip.BadGzipFile) as e:
             yield (partition.path, partition.rank, -1, 0, 0, None, [], None, None, None, None, None, None, 0, None, str(e))

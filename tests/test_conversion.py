@@ -89,6 +89,36 @@ def test_domains_and_main_page(spark, site):
             convert(spark, Config(inputs=[str(site)], name="n", url=bad))
 
 
+def test_failed_captures_give_way(spark, tmp_path):
+    a = Archive(str(tmp_path / "f.warc"))
+    a.page("http://s.test/", "<head></head><a href=/gone>x</a>")
+    a.page("http://s.test/a", "one", mime="text/html; charset=no-such")
+    a.page("http://s.test/a", "two")
+    a.page("http://s.test/b", "three", mime="text/html; charset=no-such")
+    css = tmp_path / "c.css"
+    css.write_text("a{}")
+    with pytest.raises(ValueError):
+        convert(spark, Config(inputs=[a.path], name="n"))
+    out = convert(spark, Config(inputs=[a.path], name="n", continue_on_error=True, custom_css=str(css), verbose=True))
+    items = {r.path: bytes(r.content) for r in out["items"].collect()}
+    assert b"two" in items["s.test/a"] and "s.test/b" not in items and items["_static/custom.css"] == b"a{}" and b"_static/custom.css" in items["s.test/"]
+    assert sorted(r.url for r in out["errors"].collect()) == ["http://s.test/a", "http://s.test/b"] and [r.path for r in out["missing"].collect()] == ["s.test/gone"]
+
+
+def test_digests(spark, tmp_path):
+    import hashlib
+
+    from archloom.sources.warc import digest_of
+
+    a = Archive(str(tmp_path / "d.warc"))
+    a.page("http://s/", "x")
+    raw = open(a.path, "rb").read()
+    want = "sha256:" + hashlib.sha256(raw).hexdigest()
+    assert read_warc(spark, [a.path], digest="true").first().digest == want
+    with pytest.raises(ValueError):
+        digest_of(a.path, 0, len(raw) + 1)
+
+
 def test_main_page_states():
     row = {"rec_type": "response", "status": 200, "ok": True, "mime": "text/html", "payload_length": 9, "location": None}
     at = lambda path, **more: row | {"path": path, "url": f"http://{path}"} | more
