@@ -1,10 +1,10 @@
 """Main text of HTML pages by line-block distribution.
 
 The markup is stripped into lines: the text of each block-level element, with what kind of element it
-lies in. Text lengths are summed over sliding windows of lines; the region between a surge (the sum rises over its
-threshold) and a dive (it falls to nothing) is kept. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts and styles count as zero length and are never
-part of the text. Where the page marks its article (article, main, or role=main), the surge and
+lies in. Lines of menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are never
+part of the text. Of the others, lengths are summed over sliding windows; the text between the first surge (the
+sum of the lines from there reaches its threshold) and the last dive (that of the lines up to there still does) is kept.
+Short lines that are all link count as zero length. Where the page marks its article (article, main, or role=main), the surge and
 dive are its first and last line: length alone would lose a short first or last paragraph.
 """
 
@@ -29,22 +29,23 @@ _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "option", "select", "caption
 _ALSO = {"li": ("li", ("ul", "ol", "menu", "dir")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|side-?bars?|footers?|cookies?(?:bar)?|consent|gdpr|notices?|banners?|adverts?|advertisements?|advertising|ads?|adsense|adbox|sponsor(?:ed|s)?|promos?|promoted|promotions?"
-    r"|comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommend(?:ed|ations)?|newsletters?|subscribe|subscription|sign-?up|log-?in|breadcrumbs?|pop-?ups?|modals?|overlay|toolbar|pagination|pager|widgets?|search(?:box|bar)?|skip-?links?|masthead|copyright|alert|toc)(?=[\s_-]|$)",
+    r"|comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommend(?:ed|ations)?|newsletters?|subscribe|subscription|sign-?up|log-?in|breadcrumbs?|pop-?ups?|modals?|overlay|toolbar|pagination|pager|widgets?|search(?:box|bar)?|skip-?links?|masthead|copyright|alert|toc|teasers?|top-?bar|ad-?(?:slot|unit|block|container|box|wrapper)s?|feedback|paywall|notifications?|disclaimers?|outbrain|taboola)(?=[\s_-]|$)",
     re.I,
 )
 # Names that say how the page around is laid out, and those that make even an article a part of something else.
 _LAYOUT = re.compile(r"(?:has|no|with|without|is|show|hide|layout)[-_]|.*[-_](?:layout|wrapper|container|page|enabled|disabled)$", re.I)
 _PARTS = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|related|teaser|promo|sponsored|adverts?|ads?|widget)(?=[\s_-]|$)", re.I)
+_HEADER = re.compile(r"(?:^|[\s_-])header(?=[\s_-]|$)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert note".split())
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACE = re.compile(r"\s+")
 
 
 class Line:
-    __slots__ = ("out", "own", "text")
+    __slots__ = ("link", "out", "own", "text")
 
-    def __init__(self, text: str, out: bool, own: bool):
-        self.text, self.out, self.own = text, out, own
+    def __init__(self, text: str, link: int, out: bool, own: bool):
+        self.text, self.link, self.out, self.own = text, link, out, own
 
 
 def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
@@ -63,6 +64,8 @@ def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
         if role in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
             return True, False
         names = " ".join(x for x in (a.get("class", "") + " " + a.get("id", "")).split() if not _LAYOUT.match(x))
+        if tag not in ("html", "body") and not in_article and not own and _HEADER.search(names):
+            return True, False
         if tag not in ("html", "body") and (_PARTS if own and not in_article else _NAMES).search(names):
             return True, False
     return False, own
@@ -75,12 +78,16 @@ def lines(page: str) -> list[Line]:
     stack: list[tuple[str, bool, bool]] = []  # tag, left out, in the article; each with what holds around it
     state = (False, False)
 
+    anchors = linked = 0  # open links; characters in links of this line
+
     def flush() -> None:
+        nonlocal linked
         if part:
             text = _SPACE.sub(" ", entities.unescape("".join(part))).strip()
             part.clear()
             if text:
-                done.append(Line(text, *state))
+                done.append(Line(text, linked, *state))
+        linked = 0
 
     def pop(to: int) -> None:
         nonlocal state
@@ -95,6 +102,8 @@ def lines(page: str) -> list[Line]:
             break
         if lt > at:
             part.append(page[at:lt])
+            if anchors:
+                linked += lt - at
         m = _TOKEN.match(page, lt)
         if not m:  # a < that starts no tag
             part.append("<")
@@ -106,6 +115,10 @@ def lines(page: str) -> list[Line]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in _BLOCK:
             flush()
+            if tag != "br":
+                anchors = 0
+        if tag == "a":
+            anchors = 0 if closing else 1
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -150,36 +163,23 @@ def lines(page: str) -> list[Line]:
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
-    """The lines between surge and dive, joined by spaces. window: lines summed; surge: characters that start a region.
-
-    Of several regions the one with the most text is kept, the first of equals.
-    """
+    """The lines between the first surge and the last dive, joined by spaces. window: lines summed; surge: characters that make one. A page without any is short: all of it is kept."""
     if not page:
         return ""
     all_lines = lines(page)
     if any(x.own and not x.out for x in all_lines):
         return " ".join(x.text for x in all_lines if x.own and not x.out)
-    size = [0 if x.out else len(x.text) for x in all_lines]
+    all_lines = [x for x in all_lines if not x.out]
+    size = [0 if x.link > 0.8 * len(x.text) and len(x.text) < surge else len(x.text) for x in all_lines]
     n = len(size)
-    if not any(size):
-        return ""
     total = [0] * (n + 1)
     for i, s in enumerate(size):
         total[i + 1] = total[i] + s
-    block = [total[min(n, i + window)] - total[i] for i in range(n)]
-    best, best_size, i = (0, 0), 0, 0
-    while i < n:
-        if size[i] and block[i] >= surge:  # surge
-            j = i
-            while j < n and block[j] > 0:  # up to the dive
-                j += 1
-            if total[j] - total[i] > best_size:
-                best, best_size = (i, j), total[j] - total[i]
-            i = j
-        i += 1
-    if not best_size:
-        best = (0, n)  # a short page: nothing surges
-    return " ".join(x.text for x in all_lines[best[0] : best[1]] if not x.out)
+    surges = [i for i in range(n) if size[i] and total[min(n, i + window)] - total[i] >= surge]
+    dives = [i for i in range(n) if size[i] and total[i + 1] - total[max(0, i + 1 - window)] >= surge]
+    if surges:
+        all_lines = all_lines[surges[0] : dives[-1] + 1]
+    return " ".join(x.text for x in all_lines)
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None, window: int = 3, surge: int = 80) -> DataFrame:

@@ -147,3 +147,13 @@ def test_bundle_frames(tmp_path):
     (tmp_path / "bad").write_bytes(raw[:-3])
     with pytest.raises(ValueError):
         bundles.seek_table(fs, str(tmp_path / "bad"))
+
+
+def test_pages_without_an_article():
+    p = "<p>" + "some words of the story " * 8 + "</p>"
+    side = "<aside><ul><li>one<li>two<li>three<li>four</ul></aside>"
+    links = "".join(f"<div><a href=/{i}>Section {i}</a></div>" for i in range(5))
+    text = ("some words of the story " * 8).strip()
+    page = f"<body><div id=header>Site</div>{links}<h2>Title</h2>{p}{side}{p}<p>The end.</p><div class=adslot>buy now</div>{links}</body>"
+    assert extract.main_text(page) == f"Title {text} {text} The end."
+    assert extract.main_text(f"<div class='no-header'><p>{text}</p></div>") == text
