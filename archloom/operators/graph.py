@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import cut_lineage
+
 
 def closure(edges: DataFrame, expected: DataFrame) -> DataFrame:
     """edges (src, dst; src distinct), expected (path) -> (src, dst, reason).
@@ -31,17 +31,3 @@ def closure(edges: DataFrame, expected: DataFrame) -> DataFrame:
         if 2 ** (step_no + 1) > rows or now.where("reason IS NULL").isEmpty():
             break
     return now.select("src", "dst", F.coalesce("reason", F.lit("loop")).alias("reason")).union(known.select("src", "dst", F.lit("already_expected")))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back. The folder is the session's spark.checkpoint.dir; a local one only where that is unset."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="archloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from archloom.functions import rewrite as R
 from archloom.functions.charset import to_text
 from archloom.functions.url import normalize, resolve
-from archloom.operators.graph import closure, cut_lineage
+from archloom.operators.graph import closure
+from archloom.operators.staging import cut_lineage
 
 
 def page_links(url: str, text: str, mode: str) -> set[str]:
