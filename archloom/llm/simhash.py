@@ -53,12 +53,16 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     return out
 
 
-@F.arrow_udf(LongType())
-def fingerprint(texts: pa.Array) -> pa.Array:
-    """The fingerprint as a signed long."""
+def _signed(texts: pa.Array) -> pa.Array:
     return pa.array(fingerprints(texts).view(np.int64))
 
 
+#: The fingerprint of a column as a signed long.
+fingerprint = F.arrow_udf(_signed, LongType())
+#: The same, declared nondeterministic: else the planner computes it once more for a null check below a join on it.
+fingerprint_once = F.arrow_udf(_signed, LongType()).asNondeterministic()
+
+
 def _distance(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
@@ -125,12 +129,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_bu
     # The one fingerprint that stays, and how many rows have it under this doc_id.
     stay = best.groupBy("root", "component_id").agg(F.min("fp").alias("__fp")).join(best.groupBy("root", "fp").agg(F.count("*").alias("__n")), "root").where("fp = __fp")
     stay = staged(stay.select("__fp", F.col("component_id").alias("__id"), "__n"), "stay")
-    marked = docs.withColumn("__f", fingerprint(docs[text]))
+    marked = docs.withColumn("__f", fingerprint_once(docs[text]))
     chosen = marked.join(stay, (F.col("__f") == F.col("__fp")) & docs[doc_id].eqNullSafe(F.col("__id")))
     once = chosen.where("__n = 1").select(*[chosen[c] for c in docs.columns])
     if stay.where("__n > 1").isEmpty():
         return once
-    from pyspark.sql import Window
-
-    again = chosen.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__fp", "__id").orderBy(*[F.xxhash64(docs[c]) for c in docs.columns])))
-    return once.union(again.where("__r = 1").select(*[again[c] for c in docs.columns]))
+    rows = chosen.where("__n > 1").select("__fp", "__id", F.struct(*[chosen[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    # Repeats are combined before the shuffle, however many there are.
+    best = rows.groupBy("__fp", "__id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.union(best.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
