@@ -59,13 +59,14 @@ def _rate(multiplier: Column, size: Column, mean: Column) -> Column:
     return 2.0 / (1.0 + F.exp(-F.least(F.greatest(multiplier * size / mean, F.lit(-700.0)), F.lit(700.0))))
 
 
-def multipliers(pre: DataFrame, goals: DataFrame, tolerance: float = 1e-9, rounds: int = 80) -> DataFrame:
+def multipliers(pre: DataFrame, goals: DataFrame, tolerance: float = 1e-7, rounds: int = 80) -> DataFrame:
     """pre (rank, size, n), goals (rank, source_size, target) -> (rank, mean, l). l is +-infinity where the target is a bound of what rates can give."""
-    sums = pre.where("size > 0").groupBy("rank").agg(F.sum("n").alias("docs"))
+    sums = pre.where("size > 0").groupBy("rank").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).alias("squares"))
     inf = float("inf")
-    start = (
-        F.when(F.col("target") >= 2.0 * F.col("source_size") * (1 - 1e-12), F.lit(inf)).when(F.col("target") <= 0, F.lit(-inf)).otherwise(F.lit(0.0))
-    )
+    share = F.col("target") / F.col("source_size")
+    # From where the rates would be right if all words lay in documents of their mean size.
+    level = F.log(share / (2.0 - share)) * F.col("source_size") * (F.col("source_size") / F.col("docs")) / F.col("squares")
+    start = F.when(F.col("target") >= 2.0 * F.col("source_size") * (1 - 1e-12), F.lit(inf)).when(F.col("target") <= 0, F.lit(-inf)).otherwise(level)
     state = staged(
         goals.join(sums, "rank").select("rank", (F.col("source_size") / F.col("docs")).alias("mean"), "target", start.alias("l"), F.lit(-inf).alias("low"), F.lit(inf).alias("high"), F.lit(False).alias("done")), "dual"
     )
