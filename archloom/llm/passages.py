@@ -7,8 +7,8 @@ has a paragraph in common with each copy, and they cover all of it but at most g
 
 1. Equal paragraphs of different documents are found by a 64-bit key of their words (a partial minimum and maximum of
    doc_id first, so a passage that a third of all documents share is one row from there on).
-2. For near ones, paragraphs at coarse anchors get MinHash values of their 3-word shingles and join on bands of
-   these; only those in a band with another document's are fetched again with their shingles, and pairs are verified
+2. For near ones, the same paragraphs get MinHash values of their 3-word shingles and join on bands of
+   these, band after band; only those in a band with another document's are fetched again with their shingles, and pairs are verified
    by exact Jaccard. A band with more than ``block`` members is split into blocks by hash, and each pair of blocks
    is verified in its own task: nothing is dropped, no group is gathered. A pair of blocks returns a forest of its links, which has the same components.
 3. Linked paragraphs are clustered by connected components. The smallest document of a cluster keeps its
@@ -18,15 +18,16 @@ has a paragraph in common with each copy, and they cover all of it but at most g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .graph import components
-from .shared import staged
+from .shared import release, staged
 from .text import Words, mix, ngrams, slices, words
 
 SHINGLE = 3
@@ -209,9 +210,13 @@ def near_links(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, len
 
     Paragraphs with the same smallest document aren't compared: overlapping windows of one text are alike by nature.
     """
-    members = distinct.select("key", "doc_id", F.explode(F.array(*[F.xxhash64(f"band_{b}", F.lit(b)) for b in range(BANDS)])).alias("value"))
-    crowded = members.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("value", "n")
-    hits = staged(members.join(crowded, "value"), "crowded-bands")
+    band, hits = Window.partitionBy("value"), []
+    for b in range(BANDS):  # one by one: the shuffle of one is gone before that of the next
+        members = distinct.select("key", "doc_id", F.col(f"band_{b}").alias("value"))
+        counted = members.select("*", F.count("*").over(band).alias("n"), F.min("doc_id").over(band).alias("a"), F.max("doc_id").over(band).alias("z"))
+        hits.append(staged(counted.where("a <> z").select("key", "doc_id", "value", "n"), "crowded-bands"))
+        release(distinct.sparkSession)
+    hits = reduce(DataFrame.union, hits)
     wanted = hits.select("doc_id", "key").distinct().groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # of one document: bounded by its length
     sets = _sets(docs, wanted, doc_id, text, length, gap).groupBy("key").agg(F.first("shingles").alias("shingles"))
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -223,23 +228,22 @@ def near_links(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, len
     return rows.repartition("value", "a", "b").sortWithinPartitions("value", "a", "b").mapInArrow(_verify(least), "u long, v long")
 
 
-def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 30, gap: int = 21, jaccard: float = 0.7, block: int = 256, coarse: int = 3) -> DataFrame:
+def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 30, gap: int = 21, jaccard: float = 0.7, block: int = 256) -> DataFrame:
     """(doc_id, pos, first_doc): every paragraph that another document has too, exactly or nearly; pos counts words.
 
-    Equal paragraphs are found at all anchors; near ones (a chain of Jaccard >= jaccard) at the coarse anchors, those that are least among
-    coarse * gap starts. first_doc is the smallest doc_id of all that are linked: that one keeps its text. Rows that repeat a
+    Equal and near paragraphs (a chain of Jaccard >= jaccard) are found at the same anchors. first_doc is the smallest doc_id of all that are linked: that one keeps its text. Rows that repeat a
     doc_id are one document. Null doc_ids are left out: nothing could name what to remove. What repeats within one document alone is none of this operator's.
     """
     docs = docs.where(docs[doc_id].isNotNull())
-    paras = _scan(docs, doc_id, text, length, gap, False)
-    equal = paras.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key", "least")
     bands = [F.first(f"band_{b}").alias(f"band_{b}") for b in range(BANDS)]
-    distinct = staged(_scan(docs, doc_id, text, length, gap * coarse, True).groupBy("key").agg(F.min("doc_id").alias("doc_id"), *bands), "distinct-paragraphs")
-    roots = components(near_links(distinct, docs, doc_id, text, length, gap * coarse, jaccard, block), "paragraph-clusters")
+    distinct = staged(_scan(docs, doc_id, text, length, gap, True).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"), *bands), "distinct-paragraphs")
+    release(docs.sparkSession)
+    equal = distinct.where("doc_id <> most").select("key", F.col("doc_id").alias("least"))
+    roots = components(near_links(distinct, docs, doc_id, text, length, gap, jaccard, block), "paragraph-clusters")
     near = distinct.select("key", F.col("doc_id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key")
     near = near.join(near.groupBy("root").agg(F.min("least").alias("first")), "root").select("key", "first")
     some = staged(equal.select("key", F.col("least").alias("first")).union(near).groupBy("key").agg(F.min("first").alias("first_doc")), "repeated-paragraphs")
-    return paras.join(some, "key").select("doc_id", "pos", "first_doc")
+    return _scan(docs, doc_id, text, length, gap, False).join(some, "key").select("doc_id", "pos", "first_doc")
 
 
 def regions(found: DataFrame, length: int = 30) -> DataFrame:

@@ -53,6 +53,11 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, now rather than when the driver collects its garbage."""
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -212,3 +212,21 @@ def test_near_paragraphs_in_blocks(spark):
 def test_cut():
     t = "\u00e9 one  two\nthree four "
     assert passages.cut(t, [1], [3]) == "\u00e9 three four " and passages.cut(t, [0], [5]) == "" and passages.cut(t, [4], [5]) == "\u00e9 one  two\nthree "
+
+
+def recall_of_edited_passages(spark, seed, n=250):
+    """Share of the passages of 50 to 90 words with two changed words, in the midst of unlike text, of which the later copy loses words."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        passage = prose(rng, rng.randrange(50, 91), 50_000).split()
+        other = list(passage)
+        for at in rng.sample(range(len(other)), 2):
+            other[at] = f"changed{i}"
+        rows += [(2 * i + k, " ".join([prose(rng, 80, 50_000), *p, prose(rng, 80, 50_000)])) for k, p in enumerate((passage, other))]
+    got = {r.doc_id for r in passages.repeated_passages(documents(spark, rows)).collect() if r.n_removed}
+    assert all(i % 2 for i in got)
+    return len(got) / n
+
+
+def test_recall_of_short_edited_passages(spark):
+    assert recall_of_edited_passages(spark, 12) >= 0.9
