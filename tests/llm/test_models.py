@@ -150,3 +150,18 @@ def test_rates_are_an_exponential_tilt(spark):
         r = mixing.multipliers(pre, goals).first()
         rates = {s: 2 / (1 + math.exp(-max(-700, min(700, r.l * s / r.mean)))) if math.isfinite(r.l) else 2.0 for _, s, _ in counts}
         assert abs(sum(s * n * rates[s] for _, s, n in counts) - share * total) < 1e-6 * total
+
+
+def test_compression_query_takes_labelled_documents_as_domain(spark, tmp_path):
+    from archloom.llm.q_lmscore import op2_compression_cross_entropy
+
+    rows = awkward(5)
+    docs = documents(spark, rows)
+    labels = [(i, int(i % 2 == 0)) for i in range(40)] + [(0, 1), (None, 1), (9999, 1)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, 0, "user", "talk of other things " * 50)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    good = docs.where("doc_id < 40 AND doc_id % 2 = 0")
+    want = lmscore.compression_score(docs, good, keep=["doc_id"])
+    got = op2_compression_cross_entropy(spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
