@@ -230,3 +230,14 @@ def recall_of_edited_passages(spark, seed, n=250):
 
 def test_recall_of_short_edited_passages(spark):
     assert recall_of_edited_passages(spark, 12) >= 0.9
+
+
+def test_bands_find_pairs_at_the_threshold():
+    rng, hit, n = random.Random(14), 0, 400
+    for i in range(n):
+        a = [f"w{rng.randrange(100_000)}" for _ in range(30)]
+        b = list(a)
+        b[-5:] = [f"z{i}{j}" for j in range(5)]  # 23 of 33 shingles in common: Jaccard 0.697
+        bands = [passages.paragraphs(pa.array([" ".join(x)]), 30, 21)[3] for x in (a, b)]
+        hit += bool((bands[0] == bands[1]).any())
+    assert hit >= 0.97 * n
