@@ -13,6 +13,8 @@ has a paragraph in common with each copy, and they cover all of it but at most g
    is verified in its own task: nothing is dropped, no group is gathered. A pair of blocks returns a forest of its links, which has the same components.
 3. Linked paragraphs are clustered by connected components. The smallest document of a cluster keeps its
    text; the others lose it, and removed paragraphs that touch are one region.
+4. Around the paragraphs found, every window of the same length within gap - 1 words is looked up too, so that a passage
+   shared word for word goes from its first word to its last.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -243,7 +246,37 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     near = distinct.select("key", F.col("doc_id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key")
     near = near.join(near.groupBy("root").agg(F.min("least").alias("first")), "root").select("key", "first")
     some = staged(equal.select("key", F.col("least").alias("first")).union(near).groupBy("key").agg(F.min("first").alias("first_doc")), "repeated-paragraphs")
-    return _scan(docs, doc_id, text, length, gap, False).join(some, "key").select("doc_id", "pos", "first_doc")
+    found = staged(_scan(docs, doc_id, text, length, gap, False).join(some, "key").select("doc_id", "pos", "first_doc"), "found-paragraphs")
+    release(docs.sparkSession)
+    around = staged(_around(docs, found, doc_id, text, length, gap), "windows-around")
+    release(docs.sparkSession)
+    shared = around.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("most")).where("first_doc <> most").select("key", "first_doc")
+    return found.union(around.join(shared, "key").select("doc_id", "pos", "first_doc"))
+
+
+def _around(docs: DataFrame, found: DataFrame, doc_id: str, text: str, length: int, gap: int) -> DataFrame:
+    """(doc_id, pos, key): of the documents in found (doc_id, pos), the windows that begin within gap - 1 words of a found one."""
+    places = found.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))  # of one document: bounded by its length
+    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t")).join(places, "doc_id").select("doc_id", "t", "at")
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            w = words(b.column(1))
+            keys, fits = ngrams(w.hashes(lower=True), w.row, length)
+            if not len(keys):
+                continue
+            home = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))
+            near = w.first[home] + b.column(2).flatten().to_numpy(zero_copy_only=False)
+            step = np.zeros(len(keys) + 1, np.int32)
+            np.add.at(step, np.clip(np.maximum(near - gap + 1, w.first[home]), 0, len(keys)), 1)
+            np.add.at(step, np.clip(np.minimum(near + gap, w.first[home + 1]), 0, len(keys)), -1)
+            start = np.flatnonzero((np.cumsum(step)[:-1] > 0) & fits)
+            if len(start):
+                row = w.row[start]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((start - w.first[row]).astype(np.int32)), pa.array(keys[start].view(np.int64))], ["doc_id", "pos", "key"])
+
+    return source.mapInArrow(run, f"doc_id {kind}, pos int, key long")
 
 
 def regions(found: DataFrame, length: int = 30) -> DataFrame:

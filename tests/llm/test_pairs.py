@@ -241,3 +241,16 @@ def test_bands_find_pairs_at_the_threshold():
         bands = [passages.paragraphs(pa.array([" ".join(x)]), 30, 21)[3] for x in (a, b)]
         hit += bool((bands[0] == bands[1]).any())
     assert hit >= 0.97 * n
+
+
+def test_whole_passages_go(spark):
+    rng, rows, sizes = random.Random(15), [], [51, 51, 55, 60, 60, 80, 150, 400]
+    for i, n in enumerate(sizes):
+        passage = " ".join(f"p{i}.{j}" for j in range(n))
+        rows += [(2 * i + k, f"{prose(rng, 70, 50_000)} {passage} {prose(rng, 70, 50_000)}") for k in (0, 1)]
+    got = {r.doc_id: r.text for r in passages.remove_repeats(documents(spark, rows)).collect()}
+    for i, n in enumerate(sizes):
+        assert got[2 * i] == rows[2 * i][1]
+        rest = split(got[2 * i + 1])
+        # A window that is near because it begins or ends in up to four other words takes them along.
+        assert not [w for w in rest if w.startswith("p")] and len(rest) >= 140 - 8
