@@ -25,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -100,9 +100,14 @@ def paragraphs(texts: pa.Array, length: int, gap: int, signatures: bool = True)
     return w, at, keys[at] if len(at) else np.zeros(0, np.uint64), bands, shingles
 
 
+def _version(text: Column) -> Column:
+    """Tells the texts of rows that share a doc_id apart."""
+    return F.xxhash64(text)
+
+
 def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, signatures: bool) -> DataFrame:
-    """(doc_id, pos int, key long) and, with signatures, (band_0 long, ...): a row a paragraph; pos counts words."""
-    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t"))
+    """(doc_id, version long, pos int, key long) and, with signatures, (band_0 long, ...): a row a paragraph; version: a hash of the text; pos counts words."""
+    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t"), _version(docs[text]).alias("version"))
     made = [f"band_{b}" for b in range(BANDS)] if signatures else []
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -112,10 +117,10 @@ def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, signat
             if len(at):
                 row = w.row[at]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32)), pa.array(keys.view(np.int64)), *[pa.array(x.view(np.int64)) for x in bands[: len(made)]]], ["doc_id", "pos", "key", *made]
+                    [b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32)), pa.array(keys.view(np.int64)), *[pa.array(x.view(np.int64)) for x in bands[: len(made)]]], ["doc_id", "version", "pos", "key", *made]
                 )
 
-    return source.mapInArrow(run, f"doc_id {kind}, pos int, key long" + "".join(f", {x} long" for x in made))
+    return source.mapInArrow(run, f"doc_id {kind}, version long, pos int, key long" + "".join(f", {x} long" for x in made))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: int, gap: int) -> DataFrame:
@@ -232,10 +237,10 @@ def near_links(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, len
 
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 30, gap: int = 21, jaccard: float = 0.7, block: int = 256) -> DataFrame:
-    """(doc_id, pos, first_doc): every paragraph that another document has too, exactly or nearly; pos counts words.
+    """(doc_id, version, pos, first_doc): every paragraph that another document has too, exactly or nearly; pos counts words.
 
     Equal and near paragraphs (a chain of Jaccard >= jaccard) are found at the same anchors. first_doc is the smallest doc_id of all that are linked: that one keeps its text. Rows that repeat a
-    doc_id are one document. Null doc_ids are left out: nothing could name what to remove. What repeats within one document alone is none of this operator's.
+    doc_id are one document; version, a hash of the text, tells unlike texts of one apart. Null doc_ids are left out: nothing could name what to remove. What repeats within one document alone is none of this operator's.
     """
     docs = docs.where(docs[doc_id].isNotNull())
     bands = [F.first(f"band_{b}").alias(f"band_{b}") for b in range(BANDS)]
@@ -246,18 +251,18 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     near = distinct.select("key", F.col("doc_id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key")
     near = near.join(near.groupBy("root").agg(F.min("least").alias("first")), "root").select("key", "first")
     some = staged(equal.select("key", F.col("least").alias("first")).union(near).groupBy("key").agg(F.min("first").alias("first_doc")), "repeated-paragraphs")
-    found = staged(_scan(docs, doc_id, text, length, gap, False).join(some, "key").select("doc_id", "pos", "first_doc"), "found-paragraphs")
+    found = staged(_scan(docs, doc_id, text, length, gap, False).join(some, "key").select("doc_id", "version", "pos", "first_doc"), "found-paragraphs")
     release(docs.sparkSession)
     around = staged(_around(docs, found, doc_id, text, length, gap), "windows-around")
     release(docs.sparkSession)
     shared = around.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("most")).where("first_doc <> most").select("key", "first_doc")
-    return found.union(around.join(shared, "key").select("doc_id", "pos", "first_doc"))
+    return found.union(around.join(shared, "key").select("doc_id", "version", "pos", "first_doc"))
 
 
 def _around(docs: DataFrame, found: DataFrame, doc_id: str, text: str, length: int, gap: int) -> DataFrame:
-    """(doc_id, pos, key): of the documents in found (doc_id, pos), the windows that begin within gap - 1 words of a found one."""
-    places = found.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))  # of one document: bounded by its length
-    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t")).join(places, "doc_id").select("doc_id", "t", "at")
+    """(doc_id, version, pos, key): of the texts in found (doc_id, version, pos), the windows that begin within gap - 1 words of a found one."""
+    places = found.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))  # of one document: bounded by its length
+    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t"), _version(docs[text]).alias("version")).join(places, ["doc_id", "version"]).select("doc_id", "t", "at", "version")
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,18 +279,18 @@ def _around(docs: DataFrame, found: DataFrame, doc_id: str, text: str, length: i
             start = np.flatnonzero((np.cumsum(step)[:-1] > 0) & fits)
             if len(start):
                 row = w.row[start]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((start - w.first[row]).astype(np.int32)), pa.array(keys[start].view(np.int64))], ["doc_id", "pos", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(3).take(pa.array(row)), pa.array((start - w.first[row]).astype(np.int32)), pa.array(keys[start].view(np.int64))], ["doc_id", "version", "pos", "key"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, pos int, key long")
+    return source.mapInArrow(run, f"doc_id {kind}, version long, pos int, key long")
 
 
 def regions(found: DataFrame, length: int = 30) -> DataFrame:
-    """Per document: doc_id, first_docs (who keeps what it loses), starts, ends (regions to remove: words start .. end - 1), n_removed (words).
+    """Per text of a document: doc_id, version, first_docs (who keeps what it loses), starts, ends (regions to remove: words start .. end - 1), n_removed (words).
 
     Documents that keep all their repeated paragraphs have empty arrays.
     """
     lost = F.col("doc_id") != F.col("first_doc")
-    each = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.when(lost, F.col("pos")))).alias("at"), F.sort_array(F.collect_set(F.when(lost, F.col("first_doc")))).alias("first_docs"))  # of one document: bounded by its length
+    each = found.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.when(lost, F.col("pos")))).alias("at"), F.sort_array(F.collect_set(F.when(lost, F.col("first_doc")))).alias("first_docs"))  # of one document: bounded by its length
 
     @F.arrow_udf(_REGIONS)
     def merged(places: pa.Array) -> pa.Array:
@@ -301,16 +306,16 @@ def regions(found: DataFrame, length: int = 30) -> DataFrame:
             out.append({"starts": starts, "ends": ends, "n_removed": sum(ends) - sum(starts)})
         return pa.array(out, pa.struct([("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("n_removed", pa.int64())]))
 
-    return each.select("doc_id", "first_docs", merged("at").alias("r")).select("doc_id", "first_docs", "r.starts", "r.ends", "r.n_removed")
+    return each.select("doc_id", "version", "first_docs", merged("at").alias("r")).select("doc_id", "version", "first_docs", "r.starts", "r.ends", "r.n_removed")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
-    """One row a document with a passage that another document has too: doc_id, first_docs, starts, ends, n_removed (see regions(); how: see occurrences()).
+    """One row a document (a row each of its texts, if they are unlike) with a passage that another document has too: doc_id, first_docs, starts, ends, n_removed (see regions(); how: see occurrences()).
 
     Documents without one, among them all with fewer than ``length`` words, null and empty ones, have no
     row. An empty table gives an empty result; other columns are ignored.
     """
-    return regions(occurrences(docs, doc_id, text, **how), int(how.get("length", 30)))
+    return regions(occurrences(docs, doc_id, text, **how), int(how.get("length", 30))).drop("version")
 
 
 def cut(text: str, starts: list[int], ends: list[int]) -> str:
@@ -329,8 +334,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null and empty texts, and rows with a null doc_id, stay as they are; how: see occurrences().
     """
-    gone = regions(occurrences(docs, doc_id, text, **how), int(how.get("length", 30))).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    joined = docs.join(gone, docs[doc_id] == F.col("__id"), "left")
+    gone = regions(occurrences(docs, doc_id, text, **how), int(how.get("length", 30))).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+    joined = docs.join(gone, (docs[doc_id] == F.col("__id")) & (_version(docs[text]) == F.col("__version")), "left")
 
     @F.arrow_udf(StringType())
     def without(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:

@@ -254,3 +254,11 @@ def test_whole_passages_go(spark):
         rest = split(got[2 * i + 1])
         # A window that is near because it begins or ends in up to four other words takes them along.
         assert not [w for w in rest if w.startswith("p")] and len(rest) >= 140 - 8
+
+
+def test_unlike_texts_of_one_document(spark):
+    rng = random.Random(16)
+    passage, short, long = prose(rng, 60), "only a few words", prose(rng, 200, 50_000)
+    rows = [(1, passage), (2, prose(rng, 50, 50_000) + " " + passage), (2, short), (2, long)]
+    got = [(r.doc_id, r.text) for r in passages.remove_repeats(documents(spark, rows)).collect()]
+    assert len(got) == 4 and {(1, passage), (2, short), (2, long)} <= set(got) and not any(passage in t for i, t in got if i == 2)
