@@ -165,3 +165,15 @@ def test_compression_query_takes_labelled_documents_as_domain(spark, tmp_path):
     want = lmscore.compression_score(docs, good, keep=["doc_id"])
     got = op2_compression_cross_entropy(spark, str(tmp_path))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_multipliers_meet_targets_closely(spark):
+    import math
+
+    counts = [(k, s, n) for k in range(40) for s, n in ((10, 5), (20, 9), (400, 2), (55, 30 + k))]
+    total = {k: sum(s * n for j, s, n in counts if j == k) for k in range(40)}
+    target = {k: (0.05 + 0.045 * k) * total[k] for k in total}
+    got = mixing.multipliers(spark.createDataFrame(counts, "rank long, size long, n long"), spark.createDataFrame([(k, total[k], target[k]) for k in total], "rank long, source_size long, target double")).collect()
+    for r in got:
+        words = sum(s * n * 2 / (1 + math.exp(-r.l * s / r.mean)) for k, s, n in counts if k == r["rank"])
+        assert abs(words - target[r["rank"]]) <= 2e-9 * target[r["rank"]]
