@@ -156,11 +156,13 @@ def last_wins(spark, d):
 
 @query(f"SELECT DISTINCT user_id AS path FROM events WHERE {_EV} IN (200, 201) AND event_id % 3 = 0")
 def expected_set(spark, d):
+    """The events have no column that says what is expected: a third of them, by event_id, stand for it, in both engines."""
     return events(spark, d).where(F.col("status").isin(200, 201) & (F.col("event_id") % 3 == 0)).select("path").distinct()
 
 
 @query(f"SELECT event_id, user_id AS path FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE {_EV} IN (200, 201) AND event_id % 37 = 0)")
 def expected_anti(spark, d):
+    """Nothing says which events are entries: those of status 200 or 201 with event_id % 37 = 0 stand for them, in both engines; all events are judged against these."""
     e = events(spark, d)
     has = e.where(F.col("status").isin(200, 201) & (F.col("event_id") % 37 == 0)).select("path").distinct()
     return e.join(has, "path", "left_anti").select("event_id", "path")
@@ -177,6 +179,7 @@ def counts(spark, d):
 i AS (SELECT DISTINCT user_id FROM events WHERE {_EV} = 201 AND event_id % 5 = 0)
 SELECT src, dst FROM r WHERE src NOT IN (SELECT user_id FROM i) AND dst IN (SELECT user_id FROM i)""")
 def revisit_alias(spark, d):
+    """The events refer to nothing: event_id % 150 stands for the path referred to, and a fifth of the events of status 201, by event_id, for items, in both engines."""
     e = events(spark, d).withColumn("dst", F.col("event_id") % 150)
     r = C.first_wins(e.where((F.col("status") == 404) & (F.col("dst") != F.col("path"))).withColumnRenamed("path", "src"), "src", event_order(), "dst")
     i = e.where((F.col("status") == 201) & (F.col("event_id") % 5 == 0)).select("path").distinct()
