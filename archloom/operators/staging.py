@@ -11,25 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back. A local folder is taken only where the session names none."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder as a full URI; one without a scheme is on the default file system, as Hadoop has it.
+
+    Where the session names none (neither spark.checkpoint.dir nor setCheckpointDir), a master that runs in this process
+    gets a temporary folder, as tests do; on a cluster that is an error, since executors don't share this machine's disk.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="archloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        _written.append((spark, at))
-    path = f"{(at if ':' in at.split('/', 1)[0] else 'file://' + at).rstrip('/')}/staged-{uuid.uuid4().hex}"
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that all executors share")
+        own = "file://" + tempfile.mkdtemp(prefix="archloom-")
+        _written.append((spark, own))
+        sc.setCheckpointDir(own)
+        at = sc.getCheckpointDir() or own
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    return path
+
+
+def cut_lineage(df: DataFrame, name: str = "staged") -> DataFrame:
+    """df, written to the shared folder and read back: later plans start at this table."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a frame of cut_lineage() that no later plan reads."""
+    if path := getattr(df, "_staged_at", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone
             return
