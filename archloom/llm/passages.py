@@ -5,16 +5,19 @@ hash is the least of some ``gap`` successive ones. Anchors depend on the text ar
 that is repeated in the midst of other text has the same paragraphs there: one of length + gap - 1 words
 has a paragraph in common with each copy, and they cover all of it but at most gap - 1 words at each end.
 
-1. Equal paragraphs of different documents are found by a 64-bit key of their words (a partial minimum and maximum of
-   doc_id first, so a passage that a third of all documents share is one row from there on).
-2. For near ones, the same paragraphs get MinHash values of their 3-word shingles and join on bands of
-   these, band after band; only those in a band with another document's are fetched again with their shingles, and pairs are verified
-   by exact Jaccard. A band with more than ``block`` members is split into blocks by hash, and each pair of blocks
-   is verified in its own task: nothing is dropped, no group is gathered. A pair of blocks returns a forest of its links, which has the same components.
+1. One scan writes a table of all paragraphs: where each is, a 64-bit key of its words, and its bands of MinHash values of 3-word
+   shingles. A task marks one or two rows of each key that tell whether it is in one document or in more; only these
+   go on, so a passage that a third of all documents share is a row or two a task from there on.
+2. Band after band, the marked rows are sorted by value and read as a stream. Equal paragraphs of different documents show
+   up side by side (equal key and equal band: 128 bits). Paragraphs that share a value with one of another document are
+   verified by exact Jaccard on their shingles, fetched again for these alone; a set of them that several bands bring up is verified once.
+   A value of over ``block`` paragraphs is split exactly: two sets with Jaccard j share one of their rarest
+   n - ceil(j * n) + 1 shingles (prefix filter), and what still shares one with over ``block`` others is verified block by block
+   in separate tasks. Nothing is dropped, no group is gathered.
 3. Linked paragraphs are clustered by connected components. The smallest document of a cluster keeps its
    text; the others lose it, and removed paragraphs that touch are one region.
-4. Around the paragraphs found, every window of the same length within gap - 1 words is looked up too, so that a passage
-   shared word for word goes from its first word to its last.
+4. At both ends of a run of such paragraphs the words beside it are compared with those beside the same paragraph in the first document
+   that has it word for word, so that a passage shared with that document goes from its first word to its last.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .graph import components
-from .shared import release, staged
+from .shared import discard, numbered, release, staged
 from .text import Words, mix, ngrams, slices, words
 
 SHINGLE = 3
 #: Eight bands of two rows find a pair with Jaccard 0.7 with probability 0.995, one with 25 / 31 (one word of 30 changed) with 0.9997.
 BANDS, ROWS = 8, 2
 _REGIONS = StructType([StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("n_removed", LongType())])
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_EQUAL, _FEW, _MANY = 0, 1, 2
 
 
 def anchors(w: Words, hashes: np.ndarray, length: int, gap: int) -> np.ndarray:
@@ -84,20 +88,27 @@ def _sliding(of: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def paragraphs(texts: pa.Array, length: int, gap: int, signatures: bool = True) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, anchors, keys, band values (BANDS x n), shingle hashes at every word)."""
+def paragraphs(texts: pa.Array, length: int, gap: int, bands: int = BANDS) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, anchors, keys, values of the first bands (bands x n), shingle hashes at every word). A band's value is the least 32 bits of either row; those of the first band are even, all others odd."""
     w = words(texts)
     hashes = w.hashes(lower=True)
     at = anchors(w, hashes, length, gap)
-    keys, _ = ngrams(hashes, w.row, length)
     shingles, _ = ngrams(hashes, w.row, SHINGLE)
-    bands = np.zeros((BANDS, len(at)), np.uint64)
-    if len(at) and signatures:
-        for b in range(BANDS):
-            for r in range(ROWS):
-                least = _sliding(np.minimum, mix(shingles ^ _SEEDS[b * ROWS + r]), length - SHINGLE + 1)
-                bands[b] = mix(bands[b] * np.uint64(31) + least[at])
-    return w, at, keys[at] if len(at) else np.zeros(0, np.uint64), bands, shingles
+    values = np.zeros((bands, len(at)), np.uint64)
+    if not len(at):
+        return w, at, np.zeros(0, np.uint64), values, shingles
+    keys, _ = ngrams(hashes, w.row, length)
+    for i in range(bands * ROWS):
+        least = _sliding(np.minimum, (shingles * _SEEDS[i] >> np.uint64(32)).astype(np.uint32), length - SHINGLE + 1)[at]
+        values[i // ROWS] = (values[i // ROWS] << np.uint64(32)) | least
+    values &= ~np.uint64(1)
+    values[1:] |= np.uint64(1)
+    return w, at, keys[at], values, shingles
+
+
+def _home(doc_id: Column) -> Column:
+    """A document's number while paragraphs are compared."""
+    return F.xxhash64(doc_id)
 
 
 def _version(text: Column) -> Column:
@@ -105,48 +116,151 @@ def _version(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, signatures: bool) -> DataFrame:
-    """(doc_id, version long, pos int, key long) and, with signatures, (band_0 long, ...): a row a paragraph; version: a hash of the text; pos counts words."""
-    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t"), _version(docs[text]).alias("version"))
-    made = [f"band_{b}" for b in range(BANDS)] if signatures else []
+def _leads(keys: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    """Marks for each key one row, and one of another document if there is any."""
+    order = np.lexsort((homes, keys))
+    k, h = keys[order], homes[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    last = np.append(first[1:], True)
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
+    out = np.zeros(len(k), bool)
+    out[order[first | (last & (h != h[begin]))]] = True
+    return out
+
+
+def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, held: int = 1 << 18) -> DataFrame:
+    """(doc_id, home long, version long, pos int, key long, lead boolean, band_0 long, ...): a row a paragraph; pos counts words. held: paragraphs among which a task marks leads; the others have the first band alone."""
+    source = docs.select(docs[doc_id].alias("doc_id"), _home(docs[doc_id]).alias("home"), _version(docs[text]).alias("version"), docs[text].alias("t"))
+    names = ["doc_id", "home", "version", "pos", "key", "lead", *[f"band_{b}" for b in range(BANDS)]]
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            docs_, homes, versions, pos, keys, bands = zip(*parts)
+            home, key, band = pa.concat_arrays(homes), np.concatenate(keys), np.concatenate(bands, axis=1).view(np.int64)
+            lead = _leads(key, home.to_numpy())
+            columns = [pa.concat_arrays(docs_), home, pa.concat_arrays(versions), pa.array(np.concatenate(pos)), pa.array(key), pa.array(lead), pa.array(band[0]), *[pa.array(x, mask=~lead) for x in band[1:]]]
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for b in slices(batches, "t"):
-            w, at, keys, bands, _ = paragraphs(b.column(1), length, gap, signatures)
-            if len(at):
-                row = w.row[at]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32)), pa.array(keys.view(np.int64)), *[pa.array(x.view(np.int64)) for x in bands[: len(made)]]], ["doc_id", "version", "pos", "key", *made]
-                )
+            w, at, keys, bands, _ = paragraphs(b.column(3), length, gap)
+            if not len(at):
+                continue
+            row = w.row[at]
+            take = pa.array(row)
+            parts.append((b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), (at - w.first[row]).astype(np.int32), keys.view(np.int64), bands))
+            n += len(at)
+            if n >= held:
+                yield flush()
+                parts, n = [], 0
+        if parts:
+            yield flush()
+
+    return source.mapInArrow(run, f"doc_id {kind}, home long, version long, pos int, key long, lead boolean" + "".join(f", {x} long" for x in names[6:]))
+
+
+def _runs(block: int, streak: int = 1 << 17):
+    """Over rows (value, key, home) sorted by value and key: (kind, crowd, key, home, apart).
+
+    _EQUAL: the key is in several documents; crowd is the value of the first band. _FEW, _MANY: the key is one of up to
+    block, or more, that share a value which isn't one document's alone; crowd names them. apart tells what needn't be compared: paragraphs that only the same document has.
+    A run of over ``streak`` rows is handed on as it comes, as one of many.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 3
+        open_run: int | None = None  # value of a run that is handed on already
+
+        def judged(v: np.ndarray, k: np.ndarray, h: np.ndarray, hot: int | None, whole: bool) -> Iterator[pa.RecordBatch]:
+            n = len(v)
+            if not n:
+                return
+            new = np.ones(n, bool)
+            new[1:] = v[1:] != v[:-1]
+            fresh = new.copy()
+            fresh[1:] |= k[1:] != k[:-1]
+            begin, each = np.flatnonzero(new), np.flatnonzero(fresh)
+            run_of = np.cumsum(new) - 1
+            other = h != h[begin][run_of]
+            foreign = np.zeros(n, bool)  # not the document of the row before, which has the same key
+            foreign[1:] = ~fresh[1:] & (h[1:] != h[:-1])
+            several = np.add.reduceat(foreign, each) > 0
+            size = np.add.reduceat(fresh.astype(np.int64), begin)
+            good = (size > 1) & (np.add.reduceat(other.astype(np.int64), begin) > 0)
+            many = size > block
+            if hot is not None:
+                good |= v[begin] == hot
+                many |= v[begin] == hot
+            if not whole:
+                good[:], many[:] = True, True
+            name = np.where(many, v[begin], np.add.reduceat(np.where(fresh, mix(k.view(np.uint64)), np.uint64(0)), begin).view(np.int64))
+            r = run_of[each]
+            equal, sel = several & (v[each] & 1 == 0), good[r]
+            kinds = np.concatenate([np.full(int(equal.sum()), _EQUAL), np.where(many[r[sel]], _MANY, _FEW)]).astype(np.int8)
+            if len(kinds):
+                apart = np.where(several, k[each], h[each])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), *[pa.array(np.concatenate([a[equal], c[sel]])) for a, c in ((v[each], name[r]), (k[each], k[each]), (h[each], h[each]), (apart, apart))]], ["kind", "crowd", "key", "home", "apart"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [np.concatenate([x, y.to_numpy()]) for x, y in zip(rest, b.columns)]
+            to = int(np.searchsorted(now[0], now[0][-1]))
+            yield from judged(*(x[:to] for x in now), open_run, True)
+            rest = [x[to:] for x in now]
+            if len(rest[0]) > streak:
+                open_run = int(rest[0][0])
+                keep = int(np.searchsorted(rest[1], rest[1][-1]))  # the last key may go on
+                keep = keep or len(rest[1]) - 1
+                yield from judged(*(x[:keep] for x in rest), open_run, False)
+                rest = [x[keep:] for x in rest]
+        yield from judged(*rest, open_run, True)
+
+    return run
+
 
-    return source.mapInArrow(run, f"doc_id {kind}, version long, pos int, key long" + "".join(f", {x} long" for x in made))
+def _crowds(table: DataFrame, block: int, at_once: int = 2) -> DataFrame:
+    """The staged result of _runs() over all bands, some at once: the shuffle of these is gone before that of the next."""
+    found = []
+    for b in range(0, BANDS, at_once):
+        value = F.explode(F.array(*[f"band_{i}" for i in range(b, min(BANDS, b + at_once))]))
+        rows = table.where("lead").select(value.alias("value"), "key", "home").repartition("value").sortWithinPartitions("value", "key")
+        found.append(staged(rows.mapInArrow(_runs(block), "kind tinyint, crowd long, key long, home long, apart long"), "crowds"))
+        release(table.sparkSession)
+    return reduce(DataFrame.union, found)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: int, gap: int) -> DataFrame:
-    """wanted (doc_id, keys array<long>) -> (key, shingles array<long>), from the documents that have them."""
-    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t")).join(wanted, "doc_id").select("t", "keys")
+    """wanted (home, keys array<long>) -> (key, band_0, shingles array<long>), from the documents that have them."""
+    source = docs.select(_home(docs[doc_id]).alias("home"), docs[text].alias("t")).join(wanted, "home").select("t", "keys")
+    width = length - SHINGLE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            w, at, keys, _, shingles = paragraphs(b.column(0), length, gap, False)
+            w, at, keys, bands, shingles = paragraphs(b.column(0), length, gap, 1)
             if not len(at):
                 continue
-            want, row, seen, out = [set(x) for x in b.column(1).to_pylist()], w.row[at].tolist(), set(), []
-            signed = shingles.view(np.int64)
-            for a, k, r in zip(at.tolist(), keys.view(np.int64).tolist(), row):
-                if k in want[r] and k not in seen:
-                    seen.add(k)
-                    out.append((k, np.unique(signed[a : a + length - SHINGLE + 1])))
-            if out:
-                k, s = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["key", "shingles"])
+            rows = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+            mine = lambda k, r: mix(k ^ mix(r.astype(np.uint64)))  # noqa: E731 - a key in a row; one too many does no harm
+            sel = np.flatnonzero(np.isin(mine(keys, w.row[at]), mine(b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), rows)))
+            sel = sel[np.unique(keys[sel], return_index=True)[1]]
+            if not len(sel):
+                continue
+            sets = np.sort(shingles[at[sel][:, None] + np.arange(width)].view(np.int64), axis=1)
+            keep = np.ones(sets.shape, bool)
+            keep[:, 1:] = sets[:, 1:] != sets[:, :-1]
+            ends = np.append(0, np.cumsum(keep.sum(axis=1))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[sel].view(np.int64)), pa.array(bands[0][sel].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sets[keep]))], ["key", "band_0", "shingles"])
 
-    return source.mapInArrow(run, "key long, shingles array<long>")
+    return source.mapInArrow(run, "key long, band_0 long, shingles array<long>").groupBy("key").agg(F.first("band_0").alias("band_0"), F.first("shingles").alias("shingles"))
 
 
-def _forest(keys: list[int], homes: list, sides: list[int], sets: list[frozenset], least: float) -> list[tuple[int, int]]:
-    """Links between the paragraphs of one or two blocks of a band: of pairs of different documents with Jaccard >= least, a spanning forest."""
+def _forest(keys: list[int], apart: list[int], sides: list[int], sets: list[frozenset], least: float) -> list[tuple[int, int]]:
+    """Links between the paragraphs of one or two blocks: of pairs with Jaccard >= least that aren't of one document alone, a spanning forest."""
     root = list(range(len(keys)))
 
     def find(x: int) -> int:
@@ -158,14 +272,14 @@ def _forest(keys: list[int], homes: list, sides: list[int], sets: list[frozenset
     out = []
 
     def link(x: int, y: int) -> None:
-        if keys[x] != keys[y] and homes[x] != homes[y] and find(x) != find(y):
+        if keys[x] != keys[y] and apart[x] != apart[y] and find(x) != find(y):
             root[find(x)] = find(y)
             out.append((keys[x], keys[y]))
 
     if len(keys) <= 16:
         for x in range(len(keys)):
             for y in range(x):
-                if (sides[x] != sides[y] or not sides[x]) and homes[x] != homes[y]:
+                if (sides[x] != sides[y] or not sides[x]) and apart[x] != apart[y]:
                     both = len(sets[x] & sets[y])
                     if both >= least * (len(sets[x]) + len(sets[y]) - both):
                         link(x, y)
@@ -184,7 +298,7 @@ def _forest(keys: list[int], homes: list, sides: list[int], sets: list[frozenset
 
 
 def _verify(least: float):
-    """Over rows (value, a, b, key, doc_id, side, shingles) sorted by (value, a, b): the links of each such group. A group is at most two blocks."""
+    """Over rows (crowd, a, b, key, apart, side, shingles) sorted by (crowd, a, b): the links of each such group. A group is at most two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, ([], [], [], [])
@@ -196,12 +310,12 @@ def _verify(least: float):
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for value, a, b, key, doc, side, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-                if (value, a, b) != at:
+            for crowd, a, b, key, apart, side, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if (crowd, a, b) != at:
                     if len(group[0]) > 1:
                         found += _forest(*group, least)
-                    at, group = (value, a, b), ([], [], [], [])
-                for column, x in zip(group, (key, doc, side, frozenset(shingles))):
+                    at, group = (crowd, a, b), ([], [], [], [])
+                for column, x in zip(group, (key, apart, side, frozenset(shingles))):
                     column.append(x)
             if found:
                 yield emit()
@@ -213,84 +327,114 @@ def _verify(least: float):
     return run
 
 
-def near_links(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, length: int, gap: int, least: float, block: int) -> DataFrame:
-    """distinct (key, doc_id, band_...; one row a distinct paragraph, with its smallest document) -> (u, v).
+def _prefixes(many: DataFrame, least: float) -> DataFrame:
+    """many (crowd, key, apart, shingles) -> the same rows, by crowds of those that share one of the rarest n - ceil(least * n) + 1 of their n shingles, of which any two with Jaccard >= least share one."""
+    each = many.select("crowd", "key", F.explode("shingles").alias("s"))
+    rare = each.join(each.groupBy("crowd", "s").agg(F.count("*").alias("m")), ["crowd", "s"]).groupBy("crowd", "key").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("all"))  # of one paragraph
+    first = rare.select("crowd", "key", F.explode(F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * least - 1e-9) + 1).cast("int"))).alias("p"))
+    return first.join(many, ["crowd", "key"]).select(F.xxhash64("crowd", "p.s").alias("crowd"), "key", "apart", "shingles")
 
-    Paragraphs with the same smallest document aren't compared: overlapping windows of one text are alike by nature.
-    """
-    band, hits = Window.partitionBy("value"), []
-    for b in range(BANDS):  # one by one: the shuffle of one is gone before that of the next
-        members = distinct.select("key", "doc_id", F.col(f"band_{b}").alias("value"))
-        counted = members.select("*", F.count("*").over(band).alias("n"), F.min("doc_id").over(band).alias("a"), F.max("doc_id").over(band).alias("z"))
-        hits.append(staged(counted.where("a <> z").select("key", "doc_id", "value", "n"), "crowded-bands"))
-        release(distinct.sparkSession)
-    hits = reduce(DataFrame.union, hits)
-    wanted = hits.select("doc_id", "key").distinct().groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # of one document: bounded by its length
-    sets = _sets(docs, wanted, doc_id, text, length, gap).groupBy("key").agg(F.first("shingles").alias("shingles"))
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("key"), parts).cast("int")
-    # Block i meets every block j: as the smaller or the larger of the two.
-    spread = hits.select("key", "doc_id", "value", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
-    spread = spread.select("key", "doc_id", "value", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
-    rows = spread.join(sets, "key").select("value", "a", "b", "key", "doc_id", "side", "shingles")
-    return rows.repartition("value", "a", "b").sortWithinPartitions("value", "a", "b").mapInArrow(_verify(least), "u long, v long")
+
+def _links(members: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """members (kind, crowd, key, apart), sets (key, shingles) -> (u, v): links that have the components of all pairs of a crowd with Jaccard >= least."""
+    rows = members.join(sets.select("key", "shingles"), "key")
+    few = rows.where(F.col("kind") == _FEW).select("crowd", F.lit(0).alias("a"), F.lit(0).alias("b"), "key", "apart", F.lit(0).alias("side"), "shingles")
+    if not members.where(F.col("kind") == _MANY).isEmpty():
+        parted = _prefixes(rows.where(F.col("kind") == _MANY).select("crowd", "key", "apart", "shingles"), least)
+        sizes = parted.groupBy("crowd").agg(F.count("*").alias("n")).where("n > 1")
+        # Block i meets every block j: as the smaller or the larger of the two.
+        parts = F.ceil(F.col("n") / block).cast("int")
+        mine = F.pmod(F.xxhash64("key"), parts).cast("int")
+        spread = parted.join(sizes, "crowd").select("crowd", "key", "apart", "shingles", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
+        few = few.union(spread.select("crowd", F.least("i", "j"), F.greatest("i", "j"), "key", "apart", F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2), "shingles"))
+    return few.repartition("crowd", "a", "b").sortWithinPartitions("crowd", "a", "b").mapInArrow(_verify(least), "u long, v long")
 
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 30, gap: int = 21, jaccard: float = 0.7, block: int = 256) -> DataFrame:
-    """(doc_id, version, pos, first_doc): every paragraph that another document has too, exactly or nearly; pos counts words.
+    """(doc_id, version, start, stop, first_doc): stretches of words (start .. stop - 1) that another document has too, exactly or nearly; they overlap.
 
     Equal and near paragraphs (a chain of Jaccard >= jaccard) are found at the same anchors. first_doc is the smallest doc_id of all that are linked: that one keeps its text. Rows that repeat a
     doc_id are one document; version, a hash of the text, tells unlike texts of one apart. Null doc_ids are left out: nothing could name what to remove. What repeats within one document alone is none of this operator's.
     """
-    docs = docs.where(docs[doc_id].isNotNull())
-    bands = [F.first(f"band_{b}").alias(f"band_{b}") for b in range(BANDS)]
-    distinct = staged(_scan(docs, doc_id, text, length, gap, True).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"), *bands), "distinct-paragraphs")
-    release(docs.sparkSession)
-    equal = distinct.where("doc_id <> most").select("key", F.col("doc_id").alias("least"))
-    roots = components(near_links(distinct, docs, doc_id, text, length, gap, jaccard, block), "paragraph-clusters")
-    near = distinct.select("key", F.col("doc_id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key")
-    near = near.join(near.groupBy("root").agg(F.min("least").alias("first")), "root").select("key", "first")
-    some = staged(equal.select("key", F.col("least").alias("first")).union(near).groupBy("key").agg(F.min("first").alias("first_doc")), "repeated-paragraphs")
-    found = staged(_scan(docs, doc_id, text, length, gap, False).join(some, "key").select("doc_id", "version", "pos", "first_doc"), "found-paragraphs")
+    spark = docs.sparkSession
+    docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).where("doc_id IS NOT NULL")
+    table = staged(_scan(docs, "doc_id", "text", length, gap), "paragraphs")
+    crowds = _crowds(table, block)
+    equal = crowds.where(F.col("kind") == _EQUAL).select("key", F.col("crowd").alias("band_0"), F.lit(None).cast("long").alias("root"))
+    members = staged(crowds.where(F.col("kind") != _EQUAL).groupBy("kind", "crowd", "key").agg(F.min("home").alias("home"), F.max("apart").alias("apart")), "members")
+    wanted = members.groupBy("key").agg(F.min("home").alias("home")).groupBy("home").agg(F.collect_list("key").alias("keys"))  # of one document: bounded by its length
+    sets = staged(_sets(docs, wanted, "doc_id", "text", length, gap), "shingle-sets")
+    release(spark)
+    roots = components(_links(members, sets, jaccard, block), "paragraph-clusters")
+    near = roots.join(sets.select("key", "band_0"), F.col("node") == F.col("key")).select("key", "band_0", "root")
+    some = equal.union(near).groupBy("key", "band_0").agg(F.max("root").alias("root"))
+    placed = table.select("doc_id", "version", "pos", "key", "band_0").join(some, ["key", "band_0"]).withColumn("root", F.coalesce("root", F.xxhash64("key", "band_0")))
+    placed = staged(placed, "placed")
+    discard(table)
+    discard(sets)
+    release(spark)
+    first = placed.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("most")).where("first_doc <> most").select("root", "first_doc")
+    found = staged(placed.join(first, "root").select("doc_id", "version", "pos", "key", "band_0", "first_doc"), "found")
+    discard(placed)
+    release(spark)
+    windows = found.select("doc_id", "version", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop"), "first_doc")
+    return windows.union(_extended(docs, found, length, gap))
+
+
+def _extended(docs: DataFrame, found: DataFrame, length: int, gap: int) -> DataFrame:
+    """(doc_id, version, start, stop, first_doc): of the paragraphs a document loses that an earlier one has word for word, the outermost of each run, with the up to gap - 1 words at either side that stand beside it there too."""
+    holders = found.groupBy("key", "band_0").agg(F.min(F.struct("doc_id", "version", "pos")).alias("at"), F.max("doc_id").alias("most")).where("at.doc_id <> most").select("key", "band_0", F.col("at.doc_id").alias("doc2"), F.col("at.version").alias("version2"), F.col("at.pos").alias("pos2"))
+    lost = found.where("doc_id <> first_doc").join(holders, ["key", "band_0"]).where("doc_id <> doc2")
+    of = Window.partitionBy("doc_id", "version").orderBy("pos")  # of one document
+    lost = lost.withColumn("before", F.lag("pos").over(of)).withColumn("after", F.lead("pos").over(of))
+    outer = lost.withColumn("left", F.col("before").isNull() | (F.col("before") + length < F.col("pos"))).withColumn("right", F.col("after").isNull() | (F.col("pos") + length < F.col("after")))
+    edges = staged(outer.where("left OR right").drop("before", "after", "key", "band_0"), "edges")
+    asked = edges.select("doc_id", "version", "pos").union(edges.select("doc2", "version2", "pos2"))
+    beside = staged(_beside(docs, asked, length, gap - 1), "beside")
     release(docs.sparkSession)
-    around = staged(_around(docs, found, doc_id, text, length, gap), "windows-around")
-    release(docs.sparkSession)
-    shared = around.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("most")).where("first_doc <> most").select("key", "first_doc")
-    return found.union(around.join(shared, "key").select("doc_id", "version", "pos", "first_doc"))
-
-
-def _around(docs: DataFrame, found: DataFrame, doc_id: str, text: str, length: int, gap: int) -> DataFrame:
-    """(doc_id, version, pos, key): of the texts in found (doc_id, version, pos), the windows that begin within gap - 1 words of a found one."""
-    places = found.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))  # of one document: bounded by its length
-    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t"), _version(docs[text]).alias("version")).join(places, ["doc_id", "version"]).select("doc_id", "t", "at", "version")
+    theirs = beside.select(F.col("doc_id").alias("doc2"), F.col("version").alias("version2"), F.col("pos").alias("pos2"), F.col("front").alias("front2"), F.col("back").alias("back2"))
+    both = edges.join(beside, ["doc_id", "version", "pos"]).join(theirs, ["doc2", "version2", "pos2"])
+    shared = lambda a, b: F.coalesce(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull()), F.lit(False)) - 1, F.lit(0)).cast("int")
+    # Both arrays end in a null, so there is a first place where they part.
+    n, m = F.when(F.col("left"), shared(F.col("front"), F.col("front2"))).otherwise(0), F.when(F.col("right"), shared(F.col("back"), F.col("back2"))).otherwise(0)
+    return both.select("doc_id", "version", (F.col("pos") - n).alias("start"), (F.col("pos") + length + m).alias("stop"), "first_doc")
+
+
+def _beside(docs: DataFrame, asked: DataFrame, length: int, most: int) -> DataFrame:
+    """asked (doc_id, version, pos) -> the same, once each, with front and back: hashes of up to ``most`` words before and behind the paragraph there, the nearest first, and a null at the end."""
+    places = asked.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))  # of one document: bounded by its length
+    source = docs.select("doc_id", F.col("text").alias("t"), _version(F.col("text")).alias("version")).join(places, ["doc_id", "version"]).select("doc_id", "version", "t", "at")
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            w = words(b.column(1))
-            keys, fits = ngrams(w.hashes(lower=True), w.row, length)
-            if not len(keys):
-                continue
-            home = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))
-            near = w.first[home] + b.column(2).flatten().to_numpy(zero_copy_only=False)
-            step = np.zeros(len(keys) + 1, np.int32)
-            np.add.at(step, np.clip(np.maximum(near - gap + 1, w.first[home]), 0, len(keys)), 1)
-            np.add.at(step, np.clip(np.minimum(near + gap, w.first[home + 1]), 0, len(keys)), -1)
-            start = np.flatnonzero((np.cumsum(step)[:-1] > 0) & fits)
-            if len(start):
-                row = w.row[start]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(3).take(pa.array(row)), pa.array((start - w.first[row]).astype(np.int32)), pa.array(keys[start].view(np.int64))], ["doc_id", "version", "pos", "key"])
-
-    return source.mapInArrow(run, f"doc_id {kind}, version long, pos int, key long")
-
-
-def regions(found: DataFrame, length: int = 30) -> DataFrame:
+            w = words(b.column(2))
+            hashes = np.append(w.hashes(lower=True).view(np.int64), 0)
+            pos = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False))
+            sides, steps = [], np.arange(most + 1)
+            for start, sign, least, end in ((w.first[row] + pos - 1, -1, w.first[row], w.first[row + 1]), (w.first[row] + pos + length, 1, w.first[row], w.first[row + 1])):
+                at = start[:, None] + sign * steps
+                there = (at >= least[:, None]) & (at < end[:, None]) & (steps < most)
+                size = there.sum(axis=1) + 1  # and a null
+                flat = np.concatenate([hashes[np.where(there, at, len(hashes) - 1)], np.zeros((len(pos), 1), np.int64)], axis=1)
+                used = np.arange(most + 2) < size[:, None]
+                null = np.arange(most + 2) == (size - 1)[:, None]
+                sides.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat[used], mask=null[used])))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(pos, pa.int32()), *sides], ["doc_id", "version", "pos", "front", "back"])
+
+    found = source.mapInArrow(run, f"doc_id {kind}, version long, pos int, front array<long>, back array<long>")
+    return found.groupBy("doc_id", "version", "pos").agg(F.first("front").alias("front"), F.first("back").alias("back"))  # repeated rows
+
+
+def regions(found: DataFrame) -> DataFrame:
     """Per text of a document: doc_id, version, first_docs (who keeps what it loses), starts, ends (regions to remove: words start .. end - 1), n_removed (words).
 
     Documents that keep all their repeated paragraphs have empty arrays.
     """
     lost = F.col("doc_id") != F.col("first_doc")
-    each = found.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.when(lost, F.col("pos")))).alias("at"), F.sort_array(F.collect_set(F.when(lost, F.col("first_doc")))).alias("first_docs"))  # of one document: bounded by its length
+    each = found.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.when(lost, F.struct("start", "stop")))).alias("at"), F.sort_array(F.collect_set(F.when(lost, F.col("first_doc")))).alias("first_docs"))  # of one document: bounded by its length
 
     @F.arrow_udf(_REGIONS)
     def merged(places: pa.Array) -> pa.Array:
@@ -298,11 +442,11 @@ def regions(found: DataFrame, length: int = 30) -> DataFrame:
         for at in places.to_pylist():
             starts, ends = [], []
             for p in at:
-                if ends and p <= ends[-1]:
-                    ends[-1] = p + length
+                if ends and p["start"] <= ends[-1]:
+                    ends[-1] = max(ends[-1], p["stop"])
                 else:
-                    starts.append(p)
-                    ends.append(p + length)
+                    starts.append(p["start"])
+                    ends.append(p["stop"])
             out.append({"starts": starts, "ends": ends, "n_removed": sum(ends) - sum(starts)})
         return pa.array(out, pa.struct([("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("n_removed", pa.int64())]))
 
@@ -315,7 +459,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Documents without one, among them all with fewer than ``length`` words, null and empty ones, have no
     row. An empty table gives an empty result; other columns are ignored.
     """
-    return regions(occurrences(docs, doc_id, text, **how), int(how.get("length", 30))).drop("version")
+    return regions(occurrences(docs, doc_id, text, **how)).drop("version")
 
 
 def cut(text: str, starts: list[int], ends: list[int]) -> str:
@@ -330,24 +474,21 @@ def cut(text: str, starts: list[int], ends: list[int]) -> str:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: str | None = None, **how: float) -> DataFrame:
-    """docs without the repeated passages, but for the first document of each; all rows and columns stay. count names a column that holds a text's characters, if there is one.
+    """docs without the repeated passages, but for the first document of each; all rows and columns stay, whatever their names. count names a column that holds a text's characters, if there is one.
 
-    Null and empty texts, and rows with a null doc_id, stay as they are; how: see occurrences().
+    Null and empty texts, and rows with a null doc_id, stay as they are; repeated rows all lose the same; an empty table gives an empty result; how: see occurrences().
     """
-    gone = regions(occurrences(docs, doc_id, text, **how), int(how.get("length", 30))).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    joined = docs.join(gone, (docs[doc_id] == F.col("__id")) & (_version(docs[text]) == F.col("__version")), "left")
+    gone = regions(occurrences(docs, doc_id, text, **how)).where("n_removed > 0").select(F.col("doc_id").alias("id"), "version", "starts", "ends")
+    rows, names = numbered(docs)
+    t = names[text]
+    joined = rows.join(gone, (rows[names[doc_id]] == gone["id"]) & (_version(rows[t]) == gone["version"]), "left")
 
     @F.arrow_udf(StringType())
     def without(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         return pa.array([t if t is None or s is None else cut(t, s, e) for t, s, e in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist())], pa.string())
 
-    made = joined.withColumn("__new", without(docs[text], F.col("__starts"), F.col("__ends")))
-    out = []
-    for c in docs.columns:
-        if c == text:
-            out.append(F.col("__new").alias(c))
-        elif c == count:
-            out.append(F.when(F.col("__starts").isNotNull(), F.length("__new").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
-        else:
-            out.append(docs[c])
-    return made.select(*out)
+    made = joined.withColumn("new", without(t, "starts", "ends"))
+    if count in names:
+        c = names[count]
+        made = made.withColumn("chars", F.when(F.col("starts").isNotNull(), F.length("new").cast(rows.schema[c].dataType)).otherwise(F.col(c)))
+    return made.select(*["new" if n == text else "chars" if n == count else c for n, c in names.items()]).toDF(*docs.columns)

@@ -1,56 +1,28 @@
-"""Tables in the cluster's shared folder, and how lineage is cut.
+"""Tables in the cluster's shared folder, and passes over rows.
 
 Intermediate results that are read more than once are written as Parquet to the folder that
-``spark.checkpoint.dir`` names, so that a lost executor costs nothing but a re-read. The setting
-is only given a value here where the session has none (tests, local runs).
+``spark.checkpoint.dir`` names (see operators/staging.py), so that a lost executor costs nothing but a re-read.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import slices
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; a local folder of this process only if the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="archloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        _written.append((spark, at))
-    return at if ":" in at.split("/", 1)[0] else "file://" + at
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+from archloom.operators.staging import cut_lineage as staged
+from archloom.operators.staging import discard, new_folder
 
+from .text import slices
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: later plans start at this table."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
+__all__ = ["discard", "new_folder", "numbered", "release", "row_wise", "staged"]
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the table behind a staged() frame that no later plan reads."""
-    if path := getattr(df, "_staged_at", None):
-        _delete(df.sparkSession, path)
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns under the names c0, c1, ..., and which is which: what an operator adds can't clash with them."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def release(spark: SparkSession) -> None:
@@ -58,21 +30,6 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone
-            return
-
-
 def row_wise(docs: DataFrame, text: str, keep: list[str] | None, made: str, measure: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """The columns ``keep`` of docs (default: all but the text) and those that measure() makes of Arrow arrays of whole texts, in one pass.
 

@@ -108,12 +108,23 @@ def words(texts: pa.Array) -> Words:
 
 
 def ngrams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-word windows, and whether each lies in one row."""
+    """Hashes of all n-word windows, by doubling windows, and whether each lies in one row."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    out = hashes[: len(hashes) - n + 1].copy()
-    for i in range(1, n):
-        out = out * _Q + hashes[i : len(hashes) - n + 1 + i]
+    out, window, size, done = None, hashes, 1, 0
+    while True:
+        if n & size:
+            if out is None:
+                out, done = window, size
+            else:
+                k = len(hashes) - done - size + 1
+                out = out[:k] * np.uint64(pow(int(_Q), size, 1 << 64)) + window[done : done + k]
+                done += size
+        if 2 * size > n:
+            break
+        k = len(hashes) - 2 * size + 1
+        window = window[:k] * np.uint64(pow(int(_Q), size, 1 << 64)) + window[size : size + k]
+        size *= 2
     return mix(out), row[: len(row) - n + 1] == row[n - 1 :]
 
 
