@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .graph import components
-from .shared import discard, numbered, release, staged
+from .shared import discard, numbered, staged
 from .text import Words, mix, ngrams, slices, words
 
 SHINGLE = 3
@@ -88,6 +88,11 @@ def _sliding(of: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
+def sketches(shingles: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Of the windows of so many shingles: 64 bits, in which each shingle sets one. Two sets differ by at least as many shingles as their sketches do by bits."""
+    return _sliding(np.bitwise_or, np.uint64(1) << (mix(shingles) >> np.uint64(58)), width)[at] if len(at) else np.zeros(0, np.uint64)
+
+
 def paragraphs(texts: pa.Array, length: int, gap: int, bands: int = BANDS) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, anchors, keys, values of the first bands (bands x n), shingle hashes at every word). A band's value is the least 32 bits of either row; those of the first band are even, all others odd."""
     w = words(texts)
@@ -130,9 +135,9 @@ def _leads(keys: np.ndarray, homes: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, held: int = 1 << 18) -> DataFrame:
-    """(doc_id, home long, version long, pos int, key long, lead boolean, band_0 long, ...): a row a paragraph; pos counts words. held: paragraphs among which a task marks leads; the others have the first band alone."""
+    """(doc_id, version long, pos int, key long, lead boolean, sketch long, band_0 long, ...): a row a paragraph; pos counts words. held: paragraphs among which a task marks leads; the others have the first band alone."""
     source = docs.select(docs[doc_id].alias("doc_id"), _home(docs[doc_id]).alias("home"), _version(docs[text]).alias("version"), docs[text].alias("t"))
-    names = ["doc_id", "home", "version", "pos", "key", "lead", *[f"band_{b}" for b in range(BANDS)]]
+    names = ["doc_id", "version", "pos", "key", "lead", "sketch", *[f"band_{b}" for b in range(BANDS)]]
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,19 +145,19 @@ def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, held:
         n = 0
 
         def flush() -> pa.RecordBatch:
-            docs_, homes, versions, pos, keys, bands = zip(*parts)
-            home, key, band = pa.concat_arrays(homes), np.concatenate(keys), np.concatenate(bands, axis=1).view(np.int64)
-            lead = _leads(key, home.to_numpy())
-            columns = [pa.concat_arrays(docs_), home, pa.concat_arrays(versions), pa.array(np.concatenate(pos)), pa.array(key), pa.array(lead), pa.array(band[0]), *[pa.array(x, mask=~lead) for x in band[1:]]]
+            docs_, homes, versions, pos, keys, bits, bands = zip(*parts)
+            key, band = np.concatenate(keys), np.concatenate(bands, axis=1).view(np.int64)
+            lead = _leads(key, pa.concat_arrays(homes).to_numpy())
+            columns = [pa.concat_arrays(docs_), pa.concat_arrays(versions), pa.array(np.concatenate(pos)), pa.array(key), pa.array(lead), pa.array(np.concatenate(bits).view(np.int64), mask=~lead), pa.array(band[0]), *[pa.array(x, mask=~lead) for x in band[1:]]]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for b in slices(batches, "t"):
-            w, at, keys, bands, _ = paragraphs(b.column(3), length, gap)
+            w, at, keys, bands, shingles = paragraphs(b.column(3), length, gap)
             if not len(at):
                 continue
             row = w.row[at]
             take = pa.array(row)
-            parts.append((b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), (at - w.first[row]).astype(np.int32), keys.view(np.int64), bands))
+            parts.append((b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), (at - w.first[row]).astype(np.int32), keys.view(np.int64), sketches(shingles, at, length - SHINGLE + 1), bands))
             n += len(at)
             if n >= held:
                 yield flush()
@@ -160,78 +165,98 @@ def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, held:
         if parts:
             yield flush()
 
-    return source.mapInArrow(run, f"doc_id {kind}, home long, version long, pos int, key long, lead boolean" + "".join(f", {x} long" for x in names[6:]))
+    return source.mapInArrow(run, f"doc_id {kind}, version long, pos int, key long, lead boolean, sketch long" + "".join(f", {x} long" for x in names[6:]))
+
+
+def _partnered(begin: np.ndarray, size: np.ndarray, apart: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+    """Of rows in runs (first rows, numbers of rows): which have another in their run, to be compared, with sketches that differ by at most so many bits."""
+    out = np.zeros(len(apart), bool)
+    for d in range(1, int(size.max(initial=1))):
+        larger = size > d
+        begin, size = begin[larger], size[larger]
+        x = np.repeat(begin - np.concatenate([[0], np.cumsum(size - d)[:-1]]), size - d) + np.arange(int((size - d).sum()))
+        near = (np.bitwise_count(sketch[x] ^ sketch[x + d]) <= most) & (apart[x] != apart[x + d])
+        out[x[near]] = True
+        out[x[near] + d] = True
+    return out
 
 
-def _runs(block: int, streak: int = 1 << 17):
-    """Over rows (value, key, home) sorted by value and key: (kind, crowd, key, home, apart).
+def _runs(block: int, most: int, streak: int = 1 << 17):
+    """Over rows (value, key, home, sketch) sorted by value: (kind, crowd, key, home, several).
 
     _EQUAL: the key is in several documents; crowd is the value of the first band. _FEW, _MANY: the key is one of up to
-    block, or more, that share a value which isn't one document's alone; crowd names them. apart tells what needn't be compared: paragraphs that only the same document has.
-    A run of over ``streak`` rows is handed on as it comes, as one of many.
+    block, or more, that share a value; crowd names them. Of few, there is a row for each key, and only those are left whose sketch differs
+    from another's by at most so many bits: no others can be near. Of many, all rows are handed on; a run of over ``streak`` rows is, as it comes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = [np.zeros(0, np.int64)] * 4
         open_run: int | None = None  # value of a run that is handed on already
 
-        def judged(v: np.ndarray, k: np.ndarray, h: np.ndarray, hot: int | None, whole: bool) -> Iterator[pa.RecordBatch]:
-            n = len(v)
-            if not n:
+        def made(kind: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), *map(pa.array, columns)], ["kind", "crowd", "key", "home", "several"])
+
+        def judged(v: np.ndarray, k: np.ndarray, h: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+            same = v[1:] == v[:-1]
+            alone = np.append(True, ~same) & np.append(~same, True)
+            if open_run is not None:
+                alone &= v != open_run
+            v, k, h, s = (x[~alone] for x in (v, k, h, s))  # mostly little is left
+            if not len(v):
                 return
-            new = np.ones(n, bool)
-            new[1:] = v[1:] != v[:-1]
-            fresh = new.copy()
-            fresh[1:] |= k[1:] != k[:-1]
-            begin, each = np.flatnonzero(new), np.flatnonzero(fresh)
-            run_of = np.cumsum(new) - 1
-            other = h != h[begin][run_of]
-            foreign = np.zeros(n, bool)  # not the document of the row before, which has the same key
-            foreign[1:] = ~fresh[1:] & (h[1:] != h[:-1])
-            several = np.add.reduceat(foreign, each) > 0
-            size = np.add.reduceat(fresh.astype(np.int64), begin)
-            good = (size > 1) & (np.add.reduceat(other.astype(np.int64), begin) > 0)
+            order = np.lexsort((k, v))
+            v, k, h, s = (x[order] for x in (v, k, h, s.view(np.uint64)))
+            new = np.append(True, v[1:] != v[:-1])
+            fresh = new | np.append(True, k[1:] != k[:-1])
+            each = np.flatnonzero(fresh)  # a row for each key of a run
+            several = np.add.reduceat(np.append(False, ~fresh[1:] & (h[1:] != h[:-1])), each) > 0
+            begin = np.flatnonzero(new[each])
+            size = np.diff(np.append(begin, len(each)))
             many = size > block
-            if hot is not None:
-                good |= v[begin] == hot
-                many |= v[begin] == hot
-            if not whole:
-                good[:], many[:] = True, True
-            name = np.where(many, v[begin], np.add.reduceat(np.where(fresh, mix(k.view(np.uint64)), np.uint64(0)), begin).view(np.int64))
-            r = run_of[each]
-            equal, sel = several & (v[each] & 1 == 0), good[r]
-            kinds = np.concatenate([np.full(int(equal.sum()), _EQUAL), np.where(many[r[sel]], _MANY, _FEW)]).astype(np.int8)
-            if len(kinds):
-                apart = np.where(several, k[each], h[each])
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), *[pa.array(np.concatenate([a[equal], c[sel]])) for a, c in ((v[each], name[r]), (k[each], k[each]), (h[each], h[each]), (apart, apart))]], ["kind", "crowd", "key", "home", "apart"])
+            if open_run is not None:
+                many |= v[each][begin] == open_run
+            if many.any():
+                hot = np.repeat(np.repeat(many, size), np.diff(np.append(each, len(v))))
+                yield made(np.full(int(hot.sum()), _MANY), v[hot], k[hot], h[hot], np.zeros(int(hot.sum()), bool))
+            v, k, h, s = (x[each] for x in (v, k, h, s))
+            few = np.repeat(~many, size)
+            equal = several & few & (v & 1 == 0)
+            sel = _partnered(begin[~many], size[~many], np.where(several, k, h), s, most)
+            name = np.repeat(np.add.reduceat(np.where(sel, mix(k.view(np.uint64)), np.uint64(0)), begin), size).view(np.int64)
+            if equal.any() or sel.any():
+                columns = [np.concatenate([a[equal], c[sel]]) for a, c in ((v, name), (k, k), (h, h), (several, several))]
+                yield made(np.repeat([_EQUAL, _FEW], [equal.sum(), sel.sum()]), *columns)
 
         for b in batches:
             if not b.num_rows:
                 continue
             now = [np.concatenate([x, y.to_numpy()]) for x, y in zip(rest, b.columns)]
             to = int(np.searchsorted(now[0], now[0][-1]))
-            yield from judged(*(x[:to] for x in now), open_run, True)
+            yield from judged(*(x[:to] for x in now))
             rest = [x[to:] for x in now]
             if len(rest[0]) > streak:
                 open_run = int(rest[0][0])
-                keep = int(np.searchsorted(rest[1], rest[1][-1]))  # the last key may go on
-                keep = keep or len(rest[1]) - 1
-                yield from judged(*(x[:keep] for x in rest), open_run, False)
-                rest = [x[keep:] for x in rest]
-        yield from judged(*rest, open_run, True)
+                yield from judged(*rest)
+                rest = [x[:0] for x in rest]
+        yield from judged(*rest)
 
     return run
 
 
-def _crowds(table: DataFrame, block: int, at_once: int = 2) -> DataFrame:
-    """The staged result of _runs() over all bands, some at once: the shuffle of these is gone before that of the next."""
+def _crowds(table: DataFrame, block: int, most: int) -> list[DataFrame]:
+    """Staged results of _runs(), band by band: the shuffle of one is gone before that of the next."""
     found = []
-    for b in range(0, BANDS, at_once):
-        value = F.explode(F.array(*[f"band_{i}" for i in range(b, min(BANDS, b + at_once))]))
-        rows = table.where("lead").select(value.alias("value"), "key", "home").repartition("value").sortWithinPartitions("value", "key")
-        found.append(staged(rows.mapInArrow(_runs(block), "kind tinyint, crowd long, key long, home long, apart long"), "crowds"))
-        release(table.sparkSession)
-    return reduce(DataFrame.union, found)
+    for b in range(BANDS):
+        rows = table.where("lead").select(F.col(f"band_{b}").alias("value"), "key", _home(F.col("doc_id")).alias("home"), "sketch").repartition("value").sortWithinPartitions("value")
+        found.append(staged(rows.mapInArrow(_runs(block, most), "kind tinyint, crowd long, key long, home long, several boolean"), "crowds"))
+    return found
+
+
+def _members(crowds: list[DataFrame]) -> DataFrame:
+    """(kind, crowd, key, home, several, apart): a row for each paragraph of a crowd. several: it is in more than one document. apart tells what needn't be compared: paragraphs that only the same document has."""
+    rows = reduce(DataFrame.union, crowds).where(F.col("kind") != _EQUAL).groupBy("kind", "crowd", "key").agg(F.min("home").alias("home"), F.max("home").alias("other"), F.max("several").alias("several"))
+    several = F.col("several") | (F.col("home") != F.col("other"))
+    return rows.select("kind", "crowd", "key", "home", several.alias("several"), F.when(several, F.col("key")).otherwise(F.col("home")).alias("apart"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: int, gap: int) -> DataFrame:
@@ -356,27 +381,37 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     Equal and near paragraphs (a chain of Jaccard >= jaccard) are found at the same anchors. first_doc is the smallest doc_id of all that are linked: that one keeps its text. Rows that repeat a
     doc_id are one document; version, a hash of the text, tells unlike texts of one apart. Null doc_ids are left out: nothing could name what to remove. What repeats within one document alone is none of this operator's.
     """
-    spark = docs.sparkSession
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).where("doc_id IS NOT NULL")
     table = staged(_scan(docs, "doc_id", "text", length, gap), "paragraphs")
-    crowds = _crowds(table, block)
-    equal = crowds.where(F.col("kind") == _EQUAL).select("key", F.col("crowd").alias("band_0"), F.lit(None).cast("long").alias("root"))
-    members = staged(crowds.where(F.col("kind") != _EQUAL).groupBy("kind", "crowd", "key").agg(F.min("home").alias("home"), F.max("apart").alias("apart")), "members")
-    wanted = members.groupBy("key").agg(F.min("home").alias("home")).groupBy("home").agg(F.collect_list("key").alias("keys"))  # of one document: bounded by its length
-    sets = staged(_sets(docs, wanted, "doc_id", "text", length, gap), "shingle-sets")
-    release(spark)
-    roots = components(_links(members, sets, jaccard, block), "paragraph-clusters")
-    near = roots.join(sets.select("key", "band_0"), F.col("node") == F.col("key")).select("key", "band_0", "root")
+    most = int(2 * (length - SHINGLE + 1) * (1 - jaccard) / (1 + jaccard) + 1e-9)  # shingles that two sets may differ by
+    crowds = _crowds(table, block, most)
+    places = staged(table.select("doc_id", "version", "pos", "key", "band_0"), "places")
+    discard(table)
+    hot = _members(crowds[:1]).where((F.col("kind") == _MANY) & F.col("several"))
+    equal = crowds[0].where(F.col("kind") == _EQUAL).select("crowd", "key").union(hot.select("crowd", "key")).select("key", F.col("crowd").alias("band_0"), F.lit(None).cast("long").alias("root")).distinct()
+    known, named = None, []
+    for some in (crowds[:2], crowds[2:]):  # crowds that the first bands have linked whole needn't be verified again
+        members = _members(some).drop("several")
+        if known is not None:
+            rooted = members.join(known, "key", "left").groupBy("kind", "crowd").agg(F.min(F.coalesce("root", "key")).alias("low"), F.max(F.coalesce("root", "key")).alias("high"))
+            members = members.join(rooted.where("low <> high").select("kind", "crowd"), ["kind", "crowd"], "left_semi")
+        members = staged(members, "members")
+        wanted = members.groupBy("key").agg(F.min("home").alias("home")).groupBy("home").agg(F.collect_list("key").alias("keys"))  # of one document: bounded by its length
+        sets = staged(_sets(docs, wanted, "doc_id", "text", length, gap), "shingle-sets")
+        links = staged(_links(members, sets, jaccard, block), "links")
+        named.append(staged(sets.select("key", "band_0"), "named"))
+        for done in (members, sets):
+            discard(done)
+        known = components(links if known is None else links.union(known), "paragraph-clusters").select(F.col("node").alias("key"), "root")
+    near = reduce(DataFrame.union, named).distinct().join(known, "key").select("key", "band_0", "root")
     some = equal.union(near).groupBy("key", "band_0").agg(F.max("root").alias("root"))
-    placed = table.select("doc_id", "version", "pos", "key", "band_0").join(some, ["key", "band_0"]).withColumn("root", F.coalesce("root", F.xxhash64("key", "band_0")))
+    placed = places.join(some, ["key", "band_0"]).withColumn("root", F.coalesce("root", F.xxhash64("key", "band_0")))
     placed = staged(placed, "placed")
-    discard(table)
-    discard(sets)
-    release(spark)
+    for done in (places, *crowds):
+        discard(done)
     first = placed.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("most")).where("first_doc <> most").select("root", "first_doc")
     found = staged(placed.join(first, "root").select("doc_id", "version", "pos", "key", "band_0", "first_doc"), "found")
     discard(placed)
-    release(spark)
     windows = found.select("doc_id", "version", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop"), "first_doc")
     return windows.union(_extended(docs, found, length, gap))
 
@@ -391,7 +426,6 @@ def _extended(docs: DataFrame, found: DataFrame, length: int, gap: int) -> DataF
     edges = staged(outer.where("left OR right").drop("before", "after", "key", "band_0"), "edges")
     asked = edges.select("doc_id", "version", "pos").union(edges.select("doc2", "version2", "pos2"))
     beside = staged(_beside(docs, asked, length, gap - 1), "beside")
-    release(docs.sparkSession)
     theirs = beside.select(F.col("doc_id").alias("doc2"), F.col("version").alias("version2"), F.col("pos").alias("pos2"), F.col("front").alias("front2"), F.col("back").alias("back2"))
     both = edges.join(beside, ["doc_id", "version", "pos"]).join(theirs, ["doc2", "version2", "pos2"])
     shared = lambda a, b: F.coalesce(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull()), F.lit(False)) - 1, F.lit(0)).cast("int")
