@@ -135,7 +135,19 @@ def test_mix(spark):
     mixed = mixing.mixture(docs)
     assert mixed.columns == [*docs.columns, "copy"]
     assert sum(len(split(r.text)) for r in mixed.collect()) == sum(taken.values())
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixture(docs.limit(0)).count() == 0
+
+
+def test_mix_numbers_repeated_rows(spark):
+    """One source of equal rows, twice half of another's words: each row is drawn by itself, in any partitioning."""
+    rows = [(7, "one two three four five six seven eight nine ten", "a")] * 400 + [(8 + i, "w " * 20, "b") for i in range(100)]
+    docs = documents(spark, rows)
+    got = mixing.mix(docs).collect()
+    for s, size in (("a", 10), ("b", 20)):
+        mine = [r for r in got if r.size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target and all(r.taken <= 2 * r.size for r in mine)
+    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, got))
+    assert mixing.mixture(docs).count() == sum(r.copies for r in got)
 
 
 def test_rates_are_an_exponential_tilt(spark):
