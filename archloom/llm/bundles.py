@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import numbered, staged
+
 SEEK_MAGIC, SKIPPABLE, INDEX_SKIPPABLE = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 INDEX = "file string, record_id string, frame int, frame_offset long, frame_size long, offset long, length long"
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, file string, frame int, offset long"
@@ -139,16 +141,18 @@ def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = end + 4 + n + 4
 
 
-def with_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """pages with __refers: the largest page_id of the rows with an equal payload, if that is another and the payload has at least so many bytes.
+def with_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", least_bytes: int = 0, made: str = "refers") -> DataFrame:
+    """The columns of pages and ``made`` (one of that name gives way): the largest page_id of the rows with an equal payload, if that is another and the payload has at least so many bytes.
 
-    Only the SHA-1 values are grouped; groups of one never enter the join, in which a hot payload is split by the planner.
+    Null and empty payloads are equal. Only the SHA-1 values are grouped; groups of one never enter the join, in which a hot payload is split by the planner. An empty table gives an empty result.
     """
-    payload = F.coalesce(pages[html], F.lit(""))
-    keyed = pages.withColumn("__sha", F.when(F.octet_length(payload) >= least_bytes, F.sha1(payload.cast("binary"))))
-    best = keyed.where("__sha IS NOT NULL").groupBy("__sha").agg(F.max(page_id).alias("__best"), F.count("*").alias("__n")).where("__n > 1").select("__sha", "__best")
-    joined = keyed.join(best, "__sha", "left")
-    return joined.select(*[joined[c] for c in pages.columns], F.when(~joined[page_id].eqNullSafe(F.col("__best")), F.col("__best")).alias("__refers"))
+    kept = [c for c in pages.columns if c != made]
+    rows, names = numbered(pages.select(*[pages[c] for c in kept]))
+    payload, i = F.coalesce(F.col(names[html]), F.lit("")), names[page_id]
+    keyed = rows.withColumn("sha", F.when(F.octet_length(payload) >= least_bytes, F.sha1(payload.cast("binary"))))
+    best = keyed.where("sha IS NOT NULL").groupBy("sha").agg(F.max(i).alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "best")
+    joined = keyed.join(best, "sha", "left")
+    return joined.select(*names.values(), F.when(~F.col(i).eqNullSafe(F.col("best")), F.col("best")).alias("refers")).toDF(*kept, made)
 
 
 def write_bundles(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, frame_bytes: int = 1 << 20, bundle_bytes: int = 1 << 30, level: int = 3, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -157,7 +161,7 @@ def write_bundles(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     A null html is an empty payload, a null url leaves the target out, a null page_id makes the identifier urn:page:null. Rows that repeat a page_id make a
     record each; of equal payloads all rows with the largest page_id are responses. The index is lazy: each evaluation writes anew, so stage it.
     """
-    marked = with_revisits(pages, page_id, html, least_bytes).select(F.col(page_id).alias("i"), F.col(url).alias("u"), F.col(html).alias("h"), F.col("__refers").alias("r"))
+    marked = with_revisits(pages.select(pages[page_id].alias("i"), pages[url].alias("u"), pages[html].alias("h")), "i", "h", least_bytes, "r")
     fields = [x.split()[0] for x in INDEX.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +226,10 @@ def read_bundles(files: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Writes pages as bundles, reads them back, and returns page_id, payload_bytes, payload_digest, record_type and refers_to per record."""
-    from .shared import staged
+    """Writes pages as bundles, reads them back, and returns page_id, payload_bytes, payload_digest, record_type and refers_to per record.
 
+    A null html is an empty payload; a page_id that is null, or no whole number, comes back as null; rows that repeat a page_id make a record each; an empty table gives an empty result.
+    """
     index = staged(write_bundles(pages, folder, least_bytes=least_bytes), "bundle-index")
     back = read_bundles(index.select("file").distinct(), payloads=False)
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .graph import components
-from .shared import staged
+from .shared import numbered, staged
 from .text import buffers
 
 HALF = [0] + [1 << i for i in range(32)]
@@ -123,18 +123,22 @@ def with_components(rows: DataFrame, hot_bucket: int = 1024) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_bucket: int = 1024) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component (nulls last), one row of each; of rows that repeat this doc_id, any one, always the same for the same table."""
+    """The rows of docs with the smallest doc_id of their component (nulls last), one row of each; of rows that repeat this doc_id, any one, always the same for the same table.
+
+    Null and empty texts have the fingerprint zero: one of them all stays. All columns stay, whatever their names; an empty table gives an empty result.
+    """
     rows = staged(docs.select(docs[doc_id].alias("doc_id"), fingerprint(docs[text]).alias("fp")), "fingerprints")
     best = rows.join(classes(rows, hot_bucket).select("fp", "root", "component_id"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # The one fingerprint that stays, and how many rows have it under this doc_id.
-    stay = best.groupBy("root", "component_id").agg(F.min("fp").alias("__fp")).join(best.groupBy("root", "fp").agg(F.count("*").alias("__n")), "root").where("fp = __fp")
-    stay = staged(stay.select("__fp", F.col("component_id").alias("__id"), "__n"), "stay")
-    marked = docs.withColumn("__f", fingerprint_once(docs[text]))
-    chosen = marked.join(stay, (F.col("__f") == F.col("__fp")) & docs[doc_id].eqNullSafe(F.col("__id")))
-    once = chosen.where("__n = 1").select(*[chosen[c] for c in docs.columns])
-    if stay.where("__n > 1").isEmpty():
+    stay = best.groupBy("root", "component_id").agg(F.min("fp").alias("least")).join(best.groupBy("root", "fp").agg(F.count("*").alias("n")), "root").where("fp = least")
+    stay = staged(stay.select("least", F.col("component_id").alias("id"), "n"), "stay")
+    own, names = numbered(docs)
+    marked = own.withColumn("f", fingerprint_once(own[names[text]]))
+    chosen = marked.join(stay, (F.col("f") == F.col("least")) & F.col(names[doc_id]).eqNullSafe(F.col("id")))
+    once = chosen.where("n = 1").select(*names.values()).toDF(*docs.columns)
+    if stay.where("n > 1").isEmpty():
         return once
-    rows = chosen.where("__n > 1").select("__fp", "__id", F.struct(*[chosen[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    rows = chosen.where("n > 1").select("least", "id", F.struct(*names.values()).alias("row"))
     # Repeats are combined before the shuffle, however many there are.
-    best = rows.groupBy("__fp", "__id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return once.union(best.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    kept = rows.groupBy("least", "id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.union(kept.select(*[f"row.{c}" for c in names.values()]).toDF(*docs.columns))

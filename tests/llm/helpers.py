@@ -4,7 +4,7 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, `key` int, __text string, n double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, `key` int, __text string, n double, __f long, __n int, __id string, __new string, __best string, __sha string, __refers long, __starts int, id int, least int, new int, starts int"
 
 
 def split(text):
@@ -21,7 +21,7 @@ def prose(rng, n, vocabulary=400):
 
 def documents(spark, rows):
     """rows: (doc_id, text) or (doc_id, text, source), with extra columns whose names clash with what operators make."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1]), "x", 1, "y", 0.5) for r in rows]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1]), "x", 1, "y", 0.5, 1, 2, "a", "b", "c", "d", 3, 4, 5, 6, 7, 8) for r in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 
