@@ -284,70 +284,72 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: in
     return source.mapInArrow(run, "key long, band_0 long, shingles array<long>").groupBy("key").agg(F.first("band_0").alias("band_0"), F.first("shingles").alias("shingles"))
 
 
-def _forest(keys: list[int], apart: list[int], sides: list[int], sets: list[frozenset], least: float) -> list[tuple[int, int]]:
-    """Links between the paragraphs of one or two blocks: of pairs with Jaccard >= least that aren't of one document alone, a spanning forest."""
-    root = list(range(len(keys)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+def _near_pairs(first: np.ndarray, second: np.ndarray, sets: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows of sets (padded with numbers that no two rows share) have Jaccard >= least."""
+    out = np.zeros(len(first), bool)
+    for a in range(0, len(first), 2048):
+        x, y = first[a : a + 2048], second[a : a + 2048]
+        both = (sets[x][:, :, None] == sets[y][:, None, :]).sum(axis=(1, 2))
+        out[a : a + 2048] = both >= least * (sizes[x] + sizes[y] - both)
+    return out
+
+
+def _forest(begin: np.ndarray, size: np.ndarray, keys: np.ndarray, apart: np.ndarray, sides: np.ndarray, sets: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between the paragraphs of groups (first rows, numbers of rows), each of one or two blocks: of pairs with Jaccard >= least that aren't of one document alone, a star for each component."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}  # group and key: the smallest key that it is linked with
+
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
         return x
 
-    out = []
-
-    def link(x: int, y: int) -> None:
-        if keys[x] != keys[y] and apart[x] != apart[y] and find(x) != find(y):
-            root[find(x)] = find(y)
-            out.append((keys[x], keys[y]))
-
-    if len(keys) <= 16:
-        for x in range(len(keys)):
-            for y in range(x):
-                if (sides[x] != sides[y] or not sides[x]) and apart[x] != apart[y]:
-                    both = len(sets[x] & sets[y])
-                    if both >= least * (len(sets[x]) + len(sets[y]) - both):
-                        link(x, y)
-        return out
-    left, right = [i for i, s in enumerate(sides) if s != 2], [i for i, s in enumerate(sides) if s != 1]
-    ids: dict[int, int] = {}
-    flat = [[ids.setdefault(x, len(ids)) for x in s] for s in sets]
-    grid = np.zeros((len(sets), len(ids)), np.float32)
-    for i, f in enumerate(flat):
-        grid[i, f] = 1
-    size = grid.sum(axis=1)
-    both = grid[left] @ grid[right].T
-    for i, j in zip(*np.nonzero(both >= least * (size[left][:, None] + size[right][None, :] - both) - 1e-4)):
-        link(left[i], right[j])
-    return out
+    group = np.arange(len(begin))
+    for d in range(1, int(size.max(initial=1))):
+        larger = size > d
+        begin, size, group = begin[larger], size[larger], group[larger]
+        n = size - d
+        x = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        g = np.repeat(group, n)
+        y = x + d
+        ask = np.flatnonzero((keys[x] != keys[y]) & (apart[x] != apart[y]) & ((sides[x] != sides[y]) | (sides[x] == 0)))
+        near = ask[_near_pairs(x[ask], y[ask], sets, sizes, least)]
+        for i, u, v in zip(g[near].tolist(), keys[x[near]].tolist(), keys[y[near]].tolist()):
+            a, b = find((i, u)), find((i, v))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    return [(x[1], find(x)[1]) for x in list(root)]
 
 
 def _verify(least: float):
     """Over rows (crowd, a, b, key, apart, side, shingles) sorted by (crowd, a, b): the links of each such group. A group is at most two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, ([], [], [], [])
-        found: list[tuple[int, int]] = []
-
-        def emit() -> pa.RecordBatch:
-            u, v = zip(*found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        for batch in batches:
-            for crowd, a, b, key, apart, side, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-                if (crowd, a, b) != at:
-                    if len(group[0]) > 1:
-                        found += _forest(*group, least)
-                    at, group = (crowd, a, b), ([], [], [], [])
-                for column, x in zip(group, (key, apart, side, frozenset(shingles))):
-                    column.append(x)
+        rest: pa.RecordBatch | None = None
+
+        def judged(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            c, x, y, keys, apart, sides = (b.column(i).to_numpy() for i in range(6))
+            n = pc.list_value_length(b.column(6)).to_numpy(zero_copy_only=False).astype(np.int64)
+            width = int(n.max(initial=1))
+            sets = np.arange(len(n) * width, dtype=np.int64).reshape(len(n), width)  # no hash, or one in 2**40
+            sets[np.arange(width) < n[:, None]] = b.column(6).flatten().to_numpy()
+            begin = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            found = _forest(begin, np.diff(np.append(begin, len(c))), keys, apart, sides, sets, n, least)
             if found:
-                yield emit()
-        if len(group[0]) > 1:
-            found += _forest(*group, least)
-        if found:
-            yield emit()
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if rest is not None:
+                b = pa.RecordBatch.from_arrays([pa.concat_arrays([p, q]) for p, q in zip(rest.columns, b.columns)], b.schema.names)
+            last = [b.column(i).to_numpy() for i in range(3)]
+            to = int(np.flatnonzero(np.append(True, np.logical_or.reduce([z[1:] != z[:-1] for z in last])))[-1])  # the last group may go on
+            if to:
+                yield from judged(b.slice(0, to))
+            rest = b.slice(to)
+        if rest is not None:
+            yield from judged(rest)
 
     return run
 
