@@ -1,17 +1,20 @@
 """Main text of HTML pages by line-block distribution.
 
 The markup is stripped into lines: the text of each block-level element, with what kind of element it
-lies in. Lines of menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are never
-part of the text. Of the others, lengths are summed over sliding windows; the text between the first surge (the
+lies in. Lines of menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles have no
+weight and are never part of the text. Of the others, lengths are summed over sliding windows; the text between the first surge (the
 sum of the lines from there reaches its threshold) and the last dive (that of the lines up to there still does) is kept.
-Short lines that are all link count as zero length. Where the page marks its article (article, main, or role=main), the surge and
-dive are its first and last line: length alone would lose a short first or last paragraph.
+Short lines that are all link count as zero length. Two things correct what length alone gets wrong:
+
+* the lines around the surge and the dive that lie in the same container (the same div, section, article, ...) are of the same block, however short;
+* where a page marks its article (article, main, or role=main), marked lines weigh a threshold more than their length and unmarked ones nothing.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,11 +44,14 @@ _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`
 _SPACE = re.compile(r"\s+")
 
 
+_CONTAINERS = frozenset("html body div section article main center td form details".split())
+
+
 class Line:
-    __slots__ = ("link", "out", "own", "text")
+    __slots__ = ("box", "link", "out", "own", "text")
 
-    def __init__(self, text: str, link: int, out: bool, own: bool):
-        self.text, self.link, self.out, self.own = text, link, out, own
+    def __init__(self, text: str, link: int, out: bool, own: bool, box: int):
+        self.text, self.link, self.out, self.own, self.box = text, link, out, own, box
 
 
 def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
@@ -75,8 +81,10 @@ def lines(page: str) -> list[Line]:
     """The page's lines in order. Text outside of any block element makes lines of its own."""
     done: list[Line] = []
     part: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, in the article; each with what holds around it
-    state = (False, False)
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, left out, in the article, number of the container; each with what holds around it
+    opened: Counter[str] = Counter()  # tags on the stack: nothing is looked for that isn't there
+    state = (False, False, 0)
+    boxes = 0
 
     anchors = linked = 0  # open links; characters in links of this line
 
@@ -91,8 +99,10 @@ def lines(page: str) -> list[Line]:
 
     def pop(to: int) -> None:
         nonlocal state
+        for x in stack[to:]:
+            opened[x[0]] -= 1
         del stack[to:]
-        state = stack[-1][1:] if stack else (False, False)
+        state = stack[-1][1:] if stack else (False, False, 0)
 
     at, n = 0, len(page)
     while at < n:
@@ -120,7 +130,7 @@ def lines(page: str) -> list[Line]:
         if tag == "a":
             anchors = 0 if closing else 1
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     if stack[i][1:] != state or tag in _BLOCK:
                         flush()
@@ -134,7 +144,7 @@ def lines(page: str) -> list[Line]:
                 close = page.find(">", at)
                 at = close + 1 if close >= 0 else n
             continue
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     pop(i)
@@ -144,7 +154,7 @@ def lines(page: str) -> list[Line]:
         if tag in _ALSO:
             shut, until = _ALSO[tag]
             shut = shut.split()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(opened[x] for x in shut) else ():
                 if stack[i][0] in until:
                     break
                 if stack[i][0] in shut:
@@ -153,33 +163,45 @@ def lines(page: str) -> list[Line]:
         if tag in _VOID:
             continue
         out, own = _judge(tag, m[3], state[1])
-        new = (state[0] or out, state[1] or own)
+        boxes += tag in _CONTAINERS
+        new = (state[0] or out, state[1] or own, boxes if tag in _CONTAINERS else state[2])
         if new != state:
             flush()
         stack.append((tag, *new))
+        opened[tag] += 1
         state = new
     flush()
     return done
 
 
+def _weights(of: list[Line], surge: int) -> list[int]:
+    """What each line brings into a window."""
+    marked = any(x.own for x in of)
+    out = []
+    for x in of:
+        n = 0 if x.link > 0.8 * len(x.text) and len(x.text) < surge else len(x.text)
+        out.append(n if not marked else len(x.text) + surge if x.own else 0)
+    return out
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     """The lines between the first surge and the last dive, joined by spaces. window: lines summed; surge: characters that make one. A page without any is short: all of it is kept."""
     if not page:
         return ""
-    all_lines = lines(page)
-    if any(x.own and not x.out for x in all_lines):
-        return " ".join(x.text for x in all_lines if x.own and not x.out)
-    all_lines = [x for x in all_lines if not x.out]
-    size = [0 if x.link > 0.8 * len(x.text) and len(x.text) < surge else len(x.text) for x in all_lines]
-    n = len(size)
-    total = [0] * (n + 1)
-    for i, s in enumerate(size):
-        total[i + 1] = total[i] + s
-    surges = [i for i in range(n) if size[i] and total[min(n, i + window)] - total[i] >= surge]
-    dives = [i for i in range(n) if size[i] and total[i + 1] - total[max(0, i + 1 - window)] >= surge]
-    if surges:
-        all_lines = all_lines[surges[0] : dives[-1] + 1]
-    return " ".join(x.text for x in all_lines)
+    kept = [x for x in lines(page) if not x.out]
+    size = _weights(kept, surge)
+    n, total = len(size), [0]
+    for s in size:
+        total.append(total[-1] + s)
+    surges = (i for i in range(n) if size[i] and total[min(n, i + window)] - total[i] >= surge)
+    dives = (i for i in range(n - 1, -1, -1) if size[i] and total[i + 1] - total[max(0, i + 1 - window)] >= surge)
+    first, last = next(surges, 0), next(dives, n - 1)
+    while first > 0 and kept[first - 1].box == kept[first].box and (size[first - 1] or not kept[first - 1].link):
+        first -= 1
+    while last < n - 1 and kept[last + 1].box == kept[last].box and (size[last + 1] or not kept[last + 1].link):
+        last += 1
+    marked = any(x.own for x in kept)
+    return " ".join(x.text for x in kept[first : last + 1] if x.own or not marked)
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None, window: int = 3, surge: int = 80) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -157,3 +158,36 @@ def test_pages_without_an_article():
     page = f"<body><div id=header>Site</div>{links}<h2>Title</h2>{p}{side}{p}<p>The end.</p><div class=adslot>buy now</div>{links}</body>"
     assert extract.main_text(page) == f"Title {text} {text} The end."
     assert extract.main_text(f"<div class='no-header'><p>{text}</p></div>") == text
+
+
+def test_line_blocks_find_the_article_by_length_alone():
+    """With the article's tag renamed, nothing marks it: the windows find the same text on every page of the table."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    at = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(at):
+        return
+    for page in pq.read_table(at).column("html").to_pylist():
+        assert extract.main_text(re.sub(r"<(/?)article>", r"<\1div>", page)) == extract.main_text(page)
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        texts = ["x" * rng.choice([3, 10, 30, 60, 120]) for _ in range(rng.randrange(1, 9))]
+        page = "".join(f"<section><p>{t}</p></section>" for t in texts)  # each a container of its own
+        sums = [sum(map(len, texts[i : i + 3])) for i in range(len(texts))]
+        back = [sum(map(len, texts[max(0, i - 2) : i + 1])) for i in range(len(texts))]
+        surges, dives = [i for i, s in enumerate(sums) if s >= 80], [i for i, s in enumerate(back) if s >= 80]
+        assert extract.main_text(page) == " ".join(texts[surges[0] : dives[-1] + 1] if surges else texts)
+
+
+def test_deep_unmatched_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    assert extract.main_text("<div>" * 20_000 + "word" + "</span>" * 20_000) == "word"
+    assert extract.main_text("<p>" + "<span>" * 20_000 + "word" + "<div>" * 20_000) == "word"
+    assert time.time() - began < 10
