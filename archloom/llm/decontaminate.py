@@ -3,8 +3,8 @@
 A text of n characters and a copy of it with at most k edits share at least n - q + 1 - k * q of their q-grams, on
 diagonals (position in the document minus position in the item) that span at most k. Shared q-grams
 are counted in bands of 2 (k + 1) diagonals that overlap by half, so every such copy lies in one band whole;
-a band whose count reaches the bound is verified by an alignment confined to it. Nothing else is aligned,
-and nothing that meets the budget is missed.
+a band whose count reaches the bound is verified by an alignment confined to it. Nothing that meets the budget is missed.
+Items so periodic that no q-gram of theirs tells a place are aligned with every stretch instead.
 
 The items are compiled into arrays, a block of at most ``block_chars`` characters at a time; every
 block is searched for in every document, one pass of the documents each, so a large benchmark costs passes, not memory.
@@ -12,7 +12,6 @@ block is searched for in every document, one pass of the documents each, so a la
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +24,8 @@ from pyspark.sql.types import BooleanType
 OUTPUT = "item_id {id}, start long, end long, edits int, item_chars int"
 _B = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 22
+#: Places of one q-gram in an item above which it doesn't count; postings looked at in one go.
+_OFTEN, _PAIRS = 32, 1 << 21
 
 
 def _spaces() -> np.ndarray:
@@ -79,53 +80,71 @@ def _power(n: int) -> np.uint64:
 
 
 @dataclass
-class Block:
-    """Items compiled: their code points, budgets and bounds, and postings of their q-grams."""
+class Part:
+    """Postings of the q-grams of some items, all of one q and of lengths that are alike. bound: of each item (all of the block) the q-grams that a copy shares at least; reach: characters that a copy spans at most."""
 
-    ids: list
-    chars: list[np.ndarray]
-    budget: np.ndarray
-    bound: np.ndarray
+    q: int
     gram: np.ndarray
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
     slots: np.ndarray
-    short: list[tuple[int, str]]
+    bound: np.ndarray
     least: int
+    reach: int
+
+
+@dataclass
+class Block:
+    """Items compiled: their code points and budgets, postings of their q-grams, the items that must be whole words, and those too periodic for a bound."""
+
+    ids: list
+    chars: list[np.ndarray]
+    budget: np.ndarray
+    parts: list[Part]
+    short: set[int]
+    periodic: list[int]
 
 
 def compile_block(items: list[tuple[object, str | None]], q: int, rate: float) -> Block | None:
-    ids, chars, short = [], [], []
-    gs, its, ps = [], [], []
+    """Items of which q gives no positive bound are short: they get the largest q that does. Of a q-gram that an item has over _OFTEN times, none count, and the bound is less by these."""
+    ids, chars, groups, short, periodic = [], [], {}, set(), []
     for ident, text in items:
         x, _ = normal(text or "")
         if not len(x):
             continue
-        j = len(ids)
+        j, n, k = len(ids), len(x), int(rate * len(x))
         ids.append(ident)
         chars.append(x)
-        k = int(rate * len(x))
-        if len(x) - q + 1 - k * q <= 0:  # the bound says nothing: found literally
-            short.append((j, x.tobytes().decode("utf-32-le", "surrogatepass")))
-            continue
-        g = grams(x, q)
-        gs.append(g)
-        its.append(np.full(len(g), j, np.int32))
-        ps.append(np.arange(len(g), dtype=np.int32))
+        own = q
+        if n - q + 1 - k * q <= 0:
+            short.add(j)
+            own = max(1, min(q, n // (k + 1)))
+        g = grams(x, own)
+        _, which, count = np.unique(g, return_inverse=True, return_counts=True)
+        rare = np.flatnonzero(count[which] <= _OFTEN)
+        bound = len(rare) - k * own
+        if bound <= 0:
+            periodic.append(j)
+        else:
+            groups.setdefault((own, n.bit_length() // 3), []).append((j, g[rare], rare.astype(np.int32), bound, n + k))
     if not ids:
         return None
     budget = np.array([int(rate * len(x)) for x in chars], np.int64)
-    bound = np.array([len(x) - q + 1 for x in chars], np.int64) - budget * q
-    g = np.concatenate(gs) if gs else np.zeros(0, np.uint64)
-    it = np.concatenate(its) if gs else np.zeros(0, np.int32)
-    p = np.concatenate(ps) if gs else np.zeros(0, np.int32)
-    order = np.argsort(g, kind="stable")
-    uniq, first = np.unique(g[order], return_index=True)
-    slots = np.zeros(1 << _SLOTS, bool)
-    slots[(uniq >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-    long = bound[bound > 0]
-    return Block(ids, chars, budget, bound, uniq, np.append(first, len(g)), it[order], p[order], slots, short, int(long.min()) if len(long) else 0)
+    parts = []
+    for (own, _), members in sorted(groups.items()):
+        g = np.concatenate([m[1] for m in members])
+        it = np.repeat(np.array([m[0] for m in members], np.int32), [len(m[1]) for m in members])
+        p = np.concatenate([m[2] for m in members])
+        order = np.argsort(g, kind="stable")
+        uniq, first = np.unique(g[order], return_index=True)
+        slots = np.zeros(1 << _SLOTS, bool)
+        slots[(uniq >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
+        bound = np.full(len(ids), 1 << 40, np.int64)
+        for m in members:
+            bound[m[0]] = m[3]
+        parts.append(Part(own, uniq, np.append(first, len(g)), it[order], p[order], slots, bound, min(m[3] for m in members), max(m[4] for m in members)))
+    return Block(ids, chars, budget, parts, short, periodic)
 
 
 def aligned(region: np.ndarray, item: np.ndarray, k: int, low: int, width: int) -> tuple[int, int, int] | None:
@@ -176,40 +195,110 @@ def _find(region: np.ndarray, item: np.ndarray) -> int:
     return -1
 
 
-def search(text: str | None, b: Block, q: int) -> list[tuple[int, int, int, int]]:
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def _words(x: np.ndarray, first: int, last: int, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of all whole-word copies of a short item in x[first:last]."""
+    flat, want = x[first:last].tobytes().decode("utf-32-le", "surrogatepass"), item.tobytes().decode("utf-32-le", "surrogatepass")
+    before = x[first - 1 : first].tobytes().decode("utf-32-le", "surrogatepass")
+    after = x[last : last + 1].tobytes().decode("utf-32-le", "surrogatepass")
+    text = f"{before or ' '}{flat}{after or ' '}"
+    edge = [not (text[i].isalnum() and text[i + 1].isalnum()) for i in range(len(flat) + 1)]
+    out = []
+    for a in range(len(flat)):
+        if edge[a]:
+            for z in range(max(a + 1, a + len(want) - k), min(len(flat), a + len(want) + k) + 1):
+                if edge[z] and (e := _distance(flat[a:z], want)) <= k:
+                    out.append((e, first + a, first + z))
+    return out
+
+
+def search(text: str | None, b: Block, q: int = 0) -> list[tuple[int, int, int, int]]:
     """(item number, start, end, edits) of the copies in the whole text, at most one for each item and place; start and end count code points of the text."""
     if not text:
         return []
     x, at = normal(text)
-    out: list[tuple[int, int, int, int]] = []
-    if b.short:
-        flat = x.tobytes().decode("utf-32-le", "surrogatepass")
-        for j, s in b.short:
-            for m in re.finditer(re.escape(s), flat):
-                out.append((j, int(at[m.start()]), int(at[m.end() - 1]) + 1, 0))
-    g = grams(x, q)
-    if len(g) and len(b.gram):
-        hit = np.flatnonzero(b.slots[(g >> np.uint64(64 - _SLOTS)).astype(np.int64)])
-        if len(hit) >= b.least:
-            which = np.minimum(np.searchsorted(b.gram, g[hit]), len(b.gram) - 1)
-            true = b.gram[which] == g[hit]
-            hit, which = hit[true], which[true]
-            if len(hit) >= b.least:
-                out += _bands(x, at, hit, which, b)
-    return out
-
+    found: dict[tuple[int, int, int], int] = {}
 
-def _bands(x: np.ndarray, at: np.ndarray, hit: np.ndarray, which: np.ndarray, b: Block) -> list[tuple[int, int, int, int]]:
-    n = b.first[which + 1] - b.first[which]
-    start = np.repeat(b.first[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-    item, diagonal = b.item[start].astype(np.int64), np.repeat(hit, n) - b.place[start]
-    place = b.place[start].astype(np.int64)
+    def add(j: int, edits: int, a: int, z: int) -> None:
+        if z > a:
+            key = (j, int(at[a]), int(at[z - 1]) + 1)
+            found[key] = min(edits, found.get(key, edits))
+
+    hashed: dict[int, np.ndarray] = {}
+    for part in b.parts:
+        if part.q not in hashed:
+            hashed[part.q] = grams(x, part.q)
+        g = hashed[part.q]
+        hit = np.flatnonzero(part.slots[(g >> np.uint64(64 - _SLOTS)).astype(np.int64)])
+        if len(hit) < part.least:
+            continue
+        which = np.minimum(np.searchsorted(part.gram, g[hit]), len(part.gram) - 1)
+        true = part.gram[which] == g[hit]
+        hit, which = hit[true], which[true]
+        if len(hit) < part.least:
+            continue
+        bands: set[tuple[int, int]] = set()
+        for i, z in _stretches(hit, part.first[which + 1] - part.first[which], part.reach):
+            bands |= _bands(hit[i:z], which[i:z], part, b)
+        for j, c in sorted(bands):
+            k, step, m = int(b.budget[j]), int(b.budget[j]) + 1, len(b.chars[j])
+            first = max(0, c * step - k)
+            last = min(len(x), (c + 2) * step + m + k)
+            if j in b.short:
+                for e, a, z in _words(x, first, last, b.chars[j], k):
+                    add(j, e, a, z)
+                continue
+            same = _find(x[first:last], b.chars[j])
+            r = (0, same, same + m) if same >= 0 else aligned(x[first:last], b.chars[j], k, c * step - k - first, 2 * step + 2 * k)
+            if r:
+                add(j, r[0], first + r[1], first + r[2])
+    for j in b.periodic:  # no bound: every stretch is aligned
+        k, m = int(b.budget[j]), len(b.chars[j])
+        for first in range(0, max(1, len(x) - m + k + 1), max(1024, m)):
+            last = min(len(x), first + max(1024, m) + m + k)
+            if r := aligned(x[first:last], b.chars[j], k, -k, last - first + 2 * k):
+                add(j, r[0], first + r[1], first + r[2])
+    best: dict[int, list[tuple[int, int, int]]] = {}
+    for (j, a, z), e in sorted(found.items(), key=lambda f: (f[0][0], f[1], f[0][1], f[0][2])):  # of overlapping copies of one item, that with the fewest edits
+        if not any(a < o[1] and o[0] < z for o in best.setdefault(j, [])):
+            best[j].append((a, z, e))
+    return sorted((j, *o) for j, mine in best.items() for o in mine)
+
+
+def _stretches(hit: np.ndarray, postings: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """Ranges of the hits, each of at most _PAIRS postings or 2 * reach characters, that overlap by reach: a copy's hits lie in one whole."""
+    total = np.cumsum(postings)
+    out, i = [], 0
+    while True:
+        done = total[i - 1] if i else 0
+        z = max(int(np.searchsorted(total, done + _PAIRS, "right")), int(np.searchsorted(hit, hit[i] + 2 * reach)), i + 1)
+        out.append((i, min(z, len(hit))))
+        if z >= len(hit):
+            return out
+        i = max(i + 1, int(np.searchsorted(hit, hit[z - 1] - reach)))
+
+
+def _bands(hit: np.ndarray, which: np.ndarray, part: Part, b: Block) -> set[tuple[int, int]]:
+    """(item, first cell) of the bands whose shared q-grams reach the bound."""
+    n = part.first[which + 1] - part.first[which]
+    start = np.repeat(part.first[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
     # An item without enough of its q-grams in all has none in a band. One that repeats in a band counts once.
-    enough = np.bincount(b.item[np.unique(start)], minlength=len(b.ids)) >= b.bound
-    sel = enough[item]
-    item, diagonal, place = item[sel], diagonal[sel], place[sel]
-    if not len(item):
-        return []
+    enough = np.bincount(part.item[np.unique(start)], minlength=len(b.ids)) >= part.bound
+    sel = enough[part.item[start]]
+    start = start[sel]
+    if not len(start):
+        return set()
+    item, place = part.item[start].astype(np.int64), part.place[start].astype(np.int64)
+    diagonal = np.repeat(hit, n)[sel] - place
     step = b.budget[item] + 1
     cell = np.floor_divide(diagonal, step)
     low, span, long = int(cell.min()), int(cell.max()) - int(cell.min()) + 3, int(place.max()) + 1
@@ -219,26 +308,9 @@ def _bands(x: np.ndarray, at: np.ndarray, hit: np.ndarray, which: np.ndarray, b:
     joined[:-1] = cells[1:] == cells[:-1] + 1
     more = np.where(joined, np.append(counts[1:], 0), 0)
     has = np.append(False, joined[:-1])
-    bands = [(int(c) // span, int(c) % span + low) for c, k in zip(cells, counts + more) if k >= b.bound[int(c) // span]]
+    bands = {(int(c) // span, int(c) % span + low) for c, k in zip(cells, counts + more) if k >= part.bound[int(c) // span]}
     # A band that begins one cell before holds this cell too.
-    bands += [(int(c) // span, int(c) % span + low - 1) for c, k, h in zip(cells, counts, has) if not h and k >= b.bound[int(c) // span]]
-    found: dict[tuple[int, int, int], int] = {}
-    for j, c in sorted(set(bands)):
-        k, s, m = int(b.budget[j]), int(b.budget[j]) + 1, len(b.chars[j])
-        first = max(0, c * s - k)
-        last = min(len(x), (c + 2) * s + m + k)
-        same = _find(x[first:last], b.chars[j])
-        r = (0, same, same + m) if same >= 0 else aligned(x[first:last], b.chars[j], k, c * s - k - first, 2 * s + 2 * k)
-        if r:
-            edits, a, z = r
-            if z > a:
-                key = (j, int(at[first + a]), int(at[first + z - 1]) + 1)
-                found[key] = min(edits, found.get(key, edits))
-    best: list[tuple[int, int, int, int]] = []
-    for (j, a, z), e in sorted(found.items(), key=lambda f: (f[0][0], f[1], f[0][1])):  # of overlapping copies of one item, that with the fewest edits
-        if not any(j == o[0] and a < o[2] and o[1] < z for o in best):
-            best.append((j, a, z, e))
-    return sorted(best)
+    return bands | {(int(c) // span, int(c) % span + low - 1) for c, k, h in zip(cells, counts, has) if not h and k >= part.bound[int(c) // span]}
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[object, str | None]]]:
@@ -258,8 +330,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """A row for each copy of a benchmark item in a document: the document's columns ``keep`` (doc_id), item_id, start, end, edits, item_chars.
 
     A copy is a stretch of the document within floor(rate * item's length) edits of the item, in lower case with white
-    space collapsed; start and end are code points of the document's text. Items so short that the lemma gives no bound are found
-    literally. Null and empty texts, on either side, have no copies; documents without copies have no
+    space collapsed; start and end are code points of the document's text. Items so short that the lemma gives no bound with q are searched with
+    a smaller one, and count only as whole words. Null and empty texts, on either side, have no copies; documents without copies have no
     row; repeated rows are searched one by one; an empty benchmark or table gives an empty result.
     """
     keep = [c for c in (keep if keep is not None else [doc_id]) if c not in ("item_id", "start", "end", "edits", "item_chars")]

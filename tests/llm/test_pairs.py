@@ -130,13 +130,51 @@ def test_qgram_search_misses_nothing():
         noise = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(150)))
         doc = noise() + edited(rng, item, rng.randrange(k + 4), letters) + noise()
         block = decontaminate.compile_block([(7, item)], 8, 0.08)
-        found = decontaminate.search(doc, block, 8)
-        d = distance(bytes_of(decontaminate.normal(doc)[0]), item)
-        assert bool(found) == (d == 0 if block.short else d <= k)
+        found = decontaminate.search(doc, block)
+        flat = bytes_of(decontaminate.normal(doc)[0])
+        d = distance(flat, item)
+        if block.short:
+            d = min((distance_whole(flat[a:z], item) for a, z in word_stretches(flat, len(item), k)), default=k + 1)
+        assert bool(found) == (d <= k), (item, doc)
         for _, a, z, e in found:
             assert e >= d and 0 <= a < z <= len(doc)
 
 
+def word_stretches(text, n, k):
+    edge = [not (t[0].isalnum() and t[1].isalnum()) for t in zip(" " + text, text + " ")]
+    return [(a, z) for a in range(len(text)) for z in range(a + 1, len(text) + 1) if edge[a] and edge[z] and abs(z - a - n) <= k]
+
+
+def distance_whole(x, y):
+    """Of all of x."""
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        new = [i]
+        for j, r in enumerate(y, 1):
+            new.append(min(row[j - 1] + (c != r), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_short_items_are_whole_words_within_their_budget():
+    block = decontaminate.compile_block([(1, "art"), (3, "a silver spoon")], 8, 0.08)
+    got = lambda t: [block.ids[f[0]] for f in decontaminate.search(t, block)]
+    assert got("a party began") == [] and got("the art began") == [1] and got("Art") == [1]
+    assert got("lost a silver spoon") == got("lost a silvr spoon") == got("lost a silver spoons") == [3] and got("lost a silvr spon") == []
+
+
+def test_periodic_text_takes_bounded_memory():
+    import resource
+
+    items = [(1, "ab" * 150), (2, "the cat sat on the mat and ate " * 8)]
+    block = decontaminate.compile_block(items, 8, 0.08)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text = "ab" * 100_000 + " " + "the cat sat on the mat and ate " * 2000
+    assert {block.ids[f[0]] for f in decontaminate.search(text, block)} == {1, 2}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # KB
+    assert decontaminate.search("ab" * 100, block) == []
+
+
 def bytes_of(x):
     return x.astype("<u4").tobytes().decode("utf-32-le")
 
