@@ -45,13 +45,11 @@ _WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Fit:
     """rows: labelled rows of each label that the fit sees at most. ratio: least likelihood ratio (G) of a feature; lift: how many times
-    as often at least it is in texts of label 1; features: how many enter at most,
-    best first. decay: weight of the squared weights; fairness: of the squared changes of the logit."""
+    as often at least it is in texts of label 1: all features of both enter. decay: weight of the squared weights; fairness: of the squared changes of the logit."""
 
     rows: int = 5000
     ratio: float = 20.0
     lift: float = 10.0
-    features: int = 4096
     decay: float = 3e-5
     fairness: float = 1.0
     steps: int = 400
@@ -116,21 +114,28 @@ def sample(docs: DataFrame, labels: DataFrame, fit: Fit, doc_id: str, text: str,
     return docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).join(F.broadcast(chosen), "id")  # about 2 * fit.rows small rows
 
 
-def _count(texts: DataFrame, among: set[int] | None) -> DataFrame:
-    """(feature, n): in how many texts each feature is, combined in each task before the shuffle."""
+def _count(texts: DataFrame) -> DataFrame:
+    """texts (text, y) -> (feature, a, b): in how many texts of label 1 and of others each feature is, combined in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, n = Reader(None if among is None else {f: f for f in among}), Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                n.update(reader.text(t))
-                if len(n) > 2_000_000:  # bounds a task's memory; the sums meet after the shuffle
-                    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
-                    n.clear()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
+        reader, n = Reader(), (Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
+            both = list(n[0].keys() | n[1].keys())
+            out = [pa.array([c[f] for f in both], pa.int64()) for c in n]
+            for c in n:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both, pa.int64()), *out], ["feature", "a", "b"])
+
+        for batch in batches:
+            for t, y in zip(*(c.to_pylist() for c in batch.columns)):
+                n[y <= 0].update(reader.text(t))
+                if len(n[0]) + len(n[1]) > 2_000_000:  # bounds a task's memory; the sums meet after the shuffle
+                    yield flush()
+        if n[0] or n[1]:
+            yield flush()
 
-    return texts.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return texts.select("text", "y").mapInArrow(run, "feature long, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 @dataclass(frozen=True)
@@ -144,20 +149,16 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def select_features(pos: dict[int, int], neg: dict[int, int], n1: int, n0: int, fit: Fit) -> list[int]:
-    """Features with the largest likelihood ratio for the label 1."""
-    out = []
-    for f, a in pos.items():
-        b = neg.get(f, 0)
-        if a * n0 <= fit.lift * (b + 0.3) * n1:
-            continue
-        p, p1, p0 = (a + b) / (n1 + n0), a / n1, b / n0 if n0 else 0.0
-        like = lambda k, n, q: (k * math.log(q) if k else 0.0) + ((n - k) * math.log(1 - q) if n - k else 0.0)
-        g = 2 * (like(a, n1, p1) + like(b, n0, p0) - like(a, n1, p) - like(b, n0, p))
-        out.append((g, f))
-    out.sort(key=lambda x: (-x[0], x[1]))
-    good = [f for g, f in out if g >= fit.ratio]
-    return (good or [f for g, f in out[:50] if g > 6])[: fit.features]
+def select_features(counts: DataFrame, n1: int, n0: int, fit: Fit) -> DataFrame:
+    """counts (feature, a, b), of n1 texts of label 1 and n0 others -> (feature, g): those with a likelihood ratio g >= fit.ratio and the lift, where they are at hand in two texts of label 1 at least."""
+
+    def like(k, n: int, q):
+        return F.when(k > 0, k * F.log(q)).otherwise(0.0) + F.when(F.lit(n) - k > 0, (F.lit(n) - k) * F.log(1 - q)).otherwise(0.0)
+
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    p, p1, p0 = (a + b) / (n1 + n0), a / n1, b / n0
+    g = 2 * (like(a, n1, p1) + like(b, n0, p0) - like(a, n1, p) - like(b, n0, p))
+    return counts.where((F.col("a") > 1) & (a * n0 > fit.lift * (b + 0.3) * n1)).select("feature", g.alias("g")).where(F.col("g") > min(6.0, fit.ratio))
 
 
 def train(rows: list[tuple[int, list[int], list[int]]], index: dict[int, int], fit: Fit) -> Model:
@@ -191,14 +192,14 @@ def train(rows: list[tuple[int, list[int], list[int]]], index: dict[int, int], f
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model of at most fit.features weights. Without rows of both labels it scores all texts alike."""
+    """A model of the features that tell the labels apart (if none reaches fit.ratio, of those that come next). Without rows of both labels it scores all texts alike."""
     seen = staged(sample(docs, labels, fit, doc_id, text, label), "labelled")
     counts = {r.y: r.n for r in seen.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    least = max(2, n1 // 200)
-    pos = {r.feature: r.n for r in _count(seen.where("y > 0"), None).where(F.col("n") >= least).orderBy(F.col("n").desc(), "feature").limit(1 << 17).collect()} if n1 else {}
-    neg = {r.feature: r.n for r in _count(seen.where("y <= 0"), set(pos)).collect()} if pos and n0 else {}
-    index = {f: i for i, f in enumerate(select_features(pos, neg, n1, n0, fit))} if n1 and n0 else {}
+    # Of a bounded sample, and far fewer than the features of its texts: the model.
+    found = sorted((-r.g, r.feature) for r in select_features(_count(seen), n1, n0, fit).collect()) if n1 and n0 else []
+    good = [f for g, f in found if -g >= fit.ratio] or [f for _, f in found]
+    index = {f: i for i, f in enumerate(good)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(index)
