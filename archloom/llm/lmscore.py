@@ -44,13 +44,15 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select(texts[text].alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary(texts: DataFrame, text: str = "text", size: int = 112_640, longest: int = 64) -> bytes:
-    """The words that save most (count times length, then by bytes), up to size bytes: least first. Words of under 3 or over ``longest`` bytes are no entries.
+def dictionary(texts: DataFrame, text: str = "text", size: int = 112_640) -> bytes:
+    """The words that save most (count times length, then by bytes), up to size bytes: least first. A word found once saves nothing, and one of under 3 bytes is no match to Zstandard.
+
+    Long words are entries like others, so a language without blanks has its repeated runs.
 
     A histogram of savings gives a bound that lets through what fills the dictionary and little more; only these words come to the driver.
     """
     gain = F.col("n") * F.length("word")
-    counts = staged(word_counts(texts, text).where((F.col("n") > 1) & (F.length("word") >= 3) & (F.length("word") <= longest)).withColumn("gain", gain), "words")
+    counts = staged(word_counts(texts, text).where((F.col("n") > 1) & (F.length("word") >= 3) & (F.length("word") < size)).withColumn("gain", gain), "words")
     steps = counts.groupBy(F.floor(F.log2("gain") * 16).alias("step")).agg(F.sum(F.length("word") + 1).alias("bytes")).collect()  # at most 16 for each power of two
     total, least = 0, 0
     for r in sorted(steps, key=lambda r: -r.step):
@@ -63,7 +65,7 @@ def dictionary(texts: DataFrame, text: str = "text", size: int = 112_640, longes
     for r in sorted(best, key=lambda r: (-r.gain, bytes(r.word))):
         w = bytes(r.word) + b" "
         if used + len(w) > size:
-            break
+            continue
         out.append(w)
         used += len(w)
     return b"".join(reversed(out)) or b" " * 8
@@ -87,11 +89,11 @@ def score(docs: DataFrame, domain: bytes, general: bytes, text: str = "text", ke
     return row_wise(docs, text, keep, "n_bytes long, domain_bytes long, general_bytes long, score double", scored)
 
 
-def compression_score(docs: DataFrame, domain: DataFrame, text: str = "text", domain_text: str = "text", keep: list[str] | None = None, dict_bytes: int = 112_640, longest: int = 64, level: int = 3) -> DataFrame:
+def compression_score(docs: DataFrame, domain: DataFrame, text: str = "text", domain_text: str = "text", keep: list[str] | None = None, dict_bytes: int = 112_640, level: int = 3) -> DataFrame:
     """Scores every row of docs against the texts of the domain; the general dictionary is made of docs themselves.
 
     Null and empty texts have the same size under both: score 0. An empty domain leaves its dictionary blank; repeated
     rows are counted and scored one by one; an empty table gives an empty result. Columns named as a measure give way.
     """
-    made = dictionary(domain, domain_text, dict_bytes, longest), dictionary(docs, text, dict_bytes, longest)
+    made = dictionary(domain, domain_text, dict_bytes), dictionary(docs, text, dict_bytes)
     return score(docs, *made, text=text, keep=keep, level=level)
