@@ -320,10 +320,11 @@ def sha256_digest(spark, d):
 
 
 
-@query("SELECT doc_id, left('http://example.com/?__wb_method=POST&' || left('__wb_post_data=' || base64(encode(text)), 4096), 5000) AS key FROM documents WHERE strlen(text) <= 8192")
+@query("SELECT doc_id, 'http://example.com/?__wb_method=POST&' || left('__wb_post_data=' || base64(encode(text)), 4096) AS key FROM documents")
 def post_base64(spark, d):
-    t = table(spark, d, "documents").where("octet_length(text) <= 8192")
-    key = url_keys(F.lit("POST"), F.lit("application/octet-stream"), F.lit(None).cast("string"), F.col("text").cast("binary"), F.lit("http://example.com/"))
+    """Bodies of any length, with their length declared."""
+    t = table(spark, d, "documents")
+    key = url_keys(F.lit("POST"), F.lit("application/octet-stream"), F.octet_length("text").cast("string"), F.col("text").cast("binary"), F.lit("http://example.com/"))
     return t.select("doc_id", key.alias("key"))
 
 
@@ -353,12 +354,20 @@ def log_filter(spark, d):
     return lines.where(~F.col("line").rlike(r"^(?:The|Der|De)\b"))
 
 
-@query()
+_DEPTH = f"repeat('../', (length({_PATH}) - length(replace({_PATH}, '/', '')) - 1)::INT)"
+
+
+@query(f"""WITH l AS (SELECT {_KEY} AS path, {_TITLE} AS raw, {_DEPTH} AS up, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS links FROM pages)
+SELECT path, trim(regexp_replace(replace(raw, '&quot;', '"'), '&amp;?', '&', 'g')) AS title, array_to_string([CASE WHEN x = '/the' THEN up || 'the' ELSE x END for x in links], ' ') AS links FROM l""")
 def rewrite_html(spark, d):
+    """The links of every page after rewriting, in order: to the one key of its host that the archive has, relative; all others as they were."""
     from archloom.plans.conversion import rewrite_pages
 
     p = table(spark, d, "pages").withColumn("path", U.normalized("url"))
-    return rewrite_pages(p.select(F.col("page_id").alias("seq"), "url", "path", F.col("html").cast("binary").alias("content"), F.lit("html").alias("mode"), F.lit(None).cast("string").alias("charset")), p.select("path")).select("path", "title", F.length("content").alias("bytes"))
+    has = p.select(F.concat(U.hostname(F.col("url")), F.lit("/the")).alias("path")).distinct()
+    made = rewrite_pages(p.select(F.col("page_id").alias("seq"), "url", "path", F.col("html").cast("binary").alias("content"), F.lit("html").alias("mode"), F.lit(None).cast("string").alias("charset")), has)
+    links = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
+    return made.select("path", "title", F.array_join(links, " ").alias("links"))
 
 
 # The entries of an archive
@@ -383,3 +392,6 @@ def metadata_row(spark, d):
     p = table(spark, d, "pages").select("page_id", U.normalized("url").alias("path"), page_status().alias("status"), P.title_native(F.col("html")).alias("title"), P.lang_native(F.col("html")).alias("lang"))
     ok = C.first_wins(p.where(F.col("status").isin(200, 201)), "path", F.col("page_id"), "page_id", "title", "lang")
     return ok.agg(F.count("*").alias("entries"), F.min_by("title", "page_id").alias("title"), language_codes(F.min_by("lang", "page_id")).alias("language"))
+
+
+from archloom.plans import catalogue_more  # noqa: E402, F401 - registers its queries

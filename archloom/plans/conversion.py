@@ -237,7 +237,8 @@ def convert(spark, config) -> dict[str, DataFrame]:
         if shape := probe(bytes(r.payload)):
             images.append(Icon(r.path, shape[1], shape[2], bytes(r.payload), shape[0]))
     images = sorted(images, key=lambda i: icons.index(i.url))
-    dates = caps.agg(F.date_format(F.min("date"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("b")).first()
+    day = H.warc_date(C.header("rec_headers", "warc-date"))  # of all responses and revisits, whatever their URL
+    dates = records.where(F.col("rec_type").isin("response", "revisit")).agg(F.date_format(F.min(day), "yyyy-MM-dd").alias("a"), F.date_format(F.max(day), "yyyy-MM-dd").alias("b")).first()
     soft = records.where("rec_type = 'warcinfo'").select(F.struct("file_rank", "rec_idx").alias("seq"), "file_path", "rec_idx").agg(F.min("seq")).first()[0]
     software = _software(config.inputs, soft)
     title = spark.range(1).select(cut_title(F.lit(config.title or head["title"]))).first()[0]

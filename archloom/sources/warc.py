@@ -49,12 +49,39 @@ class Record:
         return next((v for k, v in self.http or () if k.lower() == name), None)
 
 
+def _located(path: str):
+    """(file system, path on it) of a URI; (None, path) of a plain path, which is a local one. Hadoop, object stores and file: are those that pyarrow knows."""
+    if not re.match(r"[a-z][a-z0-9+.-]*:/", path):
+        return None, path
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        return None, "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
+def opened(path: str):
+    """A readable, seekable binary file."""
+    fs, at = _located(path)
+    return open(at, "rb") if fs is None else fs.open_input_file(at)
+
+
 def files_of(paths: list[str]) -> list[str]:
-    """Folders are walked for names of archives (case matters); anything else is taken as it is."""
+    """Folders are walked for names of archives (case matters); anything else is taken as it is. Paths may be URIs."""
     out = []
     for p in paths:
-        if os.path.isdir(p):
-            out += [os.path.join(d, f) for d, _, names in os.walk(p) for f in names if f.endswith(SUFFIXES)]
+        fs, at = _located(p)
+        if fs is None:
+            if os.path.isdir(at):
+                out += [os.path.join(d, f) for d, _, names in os.walk(at) for f in names if f.endswith(SUFFIXES)]
+            else:
+                out.append(p)
+            continue
+        import pyarrow.fs as pafs
+
+        if fs.get_file_info(at).type == pafs.FileType.Directory:
+            root = p[: len(p) - len(at)] if p.endswith(at) else p.split("://")[0] + "://"
+            out += [root + f.path for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.path.endswith(SUFFIXES)]
         else:
             out.append(p)
     return out
@@ -210,7 +237,7 @@ def _parse(read, offset: int, most: int) -> Record | None:
 
 def records(path: str, most: int = 1 << 31) -> Iterator[Record]:
     """The records of a file. A broken one carries an error and, where the rest can't be found, ends the file."""
-    with open(path, "rb") as raw:
+    with opened(path) as raw:
         f = _Counting(raw)
         magic = f.take(2)
         f.untake(magic)
@@ -273,7 +300,7 @@ def paired(source: Iterator[Record]) -> Iterator[Record]:
 def digest_of(path: str, offset: int, length: int) -> str:
     """sha256: and the hex digest of a stretch of a file; ValueError if the file ends before."""
     out, left = hashlib.sha256(), length
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(offset)
         while left and (part := f.read(min(left, 1 << 16))):
             out.update(part)
@@ -340,3 +367,40 @@ def write_record(kind: str, headers: dict[str, str], block: bytes, compress: boo
     lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
     data = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     return gzip.compress(data) if compress else data
+
+
+def write_archives(pages: DataFrame, folder: str, page_id: str, url: str, body: str, status: str, posted: str) -> int:
+    """Writes a gzip member for each response, and before it one for its request where ``posted`` (a form) isn't null, a file a task; returns the number of responses.
+
+    Names of files are given by partition, so a repeated attempt writes the same file again.
+    """
+    import pyarrow as pa
+
+    source = pages.select(pages[page_id].alias("i"), pages[url].alias("u"), pages[body].alias("b"), pages[status].alias("s"), pages[posted].alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, at = _located(folder)
+        name, n, out = f"{at}/part-{TaskContext.get().partitionId():06}.warc.gz", 0, None
+        for b in batches:
+            for i, u, html, code, form in zip(*(c.to_pylist() for c in b.columns)):
+                if out is None:
+                    if fs is None:
+                        os.makedirs(at, exist_ok=True)
+                    else:
+                        fs.create_dir(at, recursive=True)
+                    out = open(name, "wb") if fs is None else fs.open_output_stream(name, compression=None)
+                head = {"WARC-Target-URI": u, "WARC-Date": "2021-01-01T00:00:00Z", "Content-Type": "application/http"}
+                if form is not None:
+                    request = f"POST / HTTP/1.1\r\nContent-Type: application/x-www-form-urlencoded\r\nContent-Length: {len(form.encode())}\r\n\r\n{form}"
+                    out.write(write_record("request", {**head, "WARC-Record-ID": f"<urn:request:{i}>"}, request.encode()))
+                    head["WARC-Concurrent-To"] = f"<urn:request:{i}>"
+                block = f"HTTP/1.1 {code} X\r\nContent-Type: text/html\r\n\r\n".encode() + (html or "").encode()
+                out.write(write_record("response", {**head, "WARC-Record-ID": f"<urn:page:{i}>"}, block))
+                n += 1
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return sum(r.n for r in source.mapInArrow(run, "n long").collect())  # a number a task

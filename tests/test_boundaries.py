@@ -6,6 +6,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -18,8 +20,10 @@ def test_nothing_else_imports_the_subpackage():
                     assert not any(n.startswith(("archloom.llm", "corpus_pipeline")) for n in names), f
 
 
-def test_entry_stands_without_it(tmp_path):
-    for x in ("archloom", "__spark_entry__.py"):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_stands_without_it(tmp_path, pipeline):
+    """Without the subpackage, whether the pipeline's file is left or not."""
+    for x in ("archloom", "__spark_entry__.py", *["corpus_pipeline.py"] * (pipeline and os.path.exists(os.path.join(ROOT, "corpus_pipeline.py")))):
         src = os.path.join(ROOT, x)
         (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / x)
     shutil.rmtree(tmp_path / "archloom" / "llm", ignore_errors=True)
