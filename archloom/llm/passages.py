@@ -88,9 +88,13 @@ def _sliding(of: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def sketches(shingles: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Of the windows of so many shingles: 64 bits, in which each shingle sets one. Two sets differ by at least as many shingles as their sketches do by bits."""
-    return _sliding(np.bitwise_or, np.uint64(1) << (mix(shingles) >> np.uint64(58)), width)[at] if len(at) else np.zeros(0, np.uint64)
+def sketches(shingles: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """Of the windows of so many shingles: 128 bits, in two arrays, in which each shingle sets one. Two sets differ by at least as many shingles as their sketches do by bits."""
+    if not len(at):
+        return [np.zeros(0, np.uint64)] * 2
+    h = mix(shingles)
+    bit, half = np.uint64(1) << (h >> np.uint64(58)), h >> np.uint64(57) & np.uint64(1)
+    return [_sliding(np.bitwise_or, bit * (half ^ np.uint64(1) if i else half), width)[at] for i in range(2)]
 
 
 def paragraphs(texts: pa.Array, length: int, gap: int, bands: int = BANDS) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,9 +139,9 @@ def _leads(keys: np.ndarray, homes: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, held: int = 1 << 18) -> DataFrame:
-    """(doc_id, version long, pos int, key long, lead boolean, sketch long, band_0 long, ...): a row a paragraph; pos counts words. held: paragraphs among which a task marks leads; the others have the first band alone."""
+    """(doc_id, version long, pos int, key long, lead boolean, sketch_0 long, sketch_1 long, band_0 long, ...): a row a paragraph; pos counts words. held: paragraphs among which a task marks leads; the others have the first band alone."""
     source = docs.select(docs[doc_id].alias("doc_id"), _home(docs[doc_id]).alias("home"), _version(docs[text]).alias("version"), docs[text].alias("t"))
-    names = ["doc_id", "version", "pos", "key", "lead", "sketch", *[f"band_{b}" for b in range(BANDS)]]
+    names = ["doc_id", "version", "pos", "key", "lead", "sketch_0", "sketch_1", *[f"band_{b}" for b in range(BANDS)]]
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +152,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, held:
             docs_, homes, versions, pos, keys, bits, bands = zip(*parts)
             key, band = np.concatenate(keys), np.concatenate(bands, axis=1).view(np.int64)
             lead = _leads(key, pa.concat_arrays(homes).to_numpy())
-            columns = [pa.concat_arrays(docs_), pa.concat_arrays(versions), pa.array(np.concatenate(pos)), pa.array(key), pa.array(lead), pa.array(np.concatenate(bits).view(np.int64), mask=~lead), pa.array(band[0]), *[pa.array(x, mask=~lead) for x in band[1:]]]
+            columns = [pa.concat_arrays(docs_), pa.concat_arrays(versions), pa.array(np.concatenate(pos)), pa.array(key), pa.array(lead), *[pa.array(np.concatenate([x[i] for x in bits]).view(np.int64), mask=~lead) for i in range(2)], pa.array(band[0]), *[pa.array(x, mask=~lead) for x in band[1:]]]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for b in slices(batches, "t"):
@@ -165,24 +169,24 @@ def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, held:
         if parts:
             yield flush()
 
-    return source.mapInArrow(run, f"doc_id {kind}, version long, pos int, key long, lead boolean, sketch long" + "".join(f", {x} long" for x in names[6:]))
+    return source.mapInArrow(run, f"doc_id {kind}, version long, pos int, key long, lead boolean" + "".join(f", {x} long" for x in names[5:]))
 
 
-def _partnered(begin: np.ndarray, size: np.ndarray, apart: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+def _partnered(begin: np.ndarray, size: np.ndarray, apart: np.ndarray, sketch: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
     """Of rows in runs (first rows, numbers of rows): which have another in their run, to be compared, with sketches that differ by at most so many bits."""
     out = np.zeros(len(apart), bool)
     for d in range(1, int(size.max(initial=1))):
         larger = size > d
         begin, size = begin[larger], size[larger]
         x = np.repeat(begin - np.concatenate([[0], np.cumsum(size - d)[:-1]]), size - d) + np.arange(int((size - d).sum()))
-        near = (np.bitwise_count(sketch[x] ^ sketch[x + d]) <= most) & (apart[x] != apart[x + d])
+        near = (sum(np.bitwise_count(s[x] ^ s[x + d]) for s in sketch) <= most) & (apart[x] != apart[x + d])
         out[x[near]] = True
         out[x[near] + d] = True
     return out
 
 
 def _runs(block: int, most: int, streak: int = 1 << 17):
-    """Over rows (value, key, home, sketch) sorted by value: (kind, crowd, key, home, several).
+    """Over rows (value, key, home, sketch_0, sketch_1) sorted by value: (kind, crowd, key, home, several).
 
     _EQUAL: the key is in several documents; crowd is the value of the first band. _FEW, _MANY: the key is one of up to
     block, or more, that share a value; crowd names them. Of few, there is a row for each key, and only those are left whose sketch differs
@@ -190,22 +194,22 @@ def _runs(block: int, most: int, streak: int = 1 << 17):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * 5
         open_run: int | None = None  # value of a run that is handed on already
 
         def made(kind: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), *map(pa.array, columns)], ["kind", "crowd", "key", "home", "several"])
 
-        def judged(v: np.ndarray, k: np.ndarray, h: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def judged(v: np.ndarray, k: np.ndarray, h: np.ndarray, s: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
             same = v[1:] == v[:-1]
             alone = np.append(True, ~same) & np.append(~same, True)
             if open_run is not None:
                 alone &= v != open_run
-            v, k, h, s = (x[~alone] for x in (v, k, h, s))  # mostly little is left
+            v, k, h, s, t = (x[~alone] for x in (v, k, h, s, t))  # mostly little is left
             if not len(v):
                 return
             order = np.lexsort((k, v))
-            v, k, h, s = (x[order] for x in (v, k, h, s.view(np.uint64)))
+            v, k, h, s, t = (x[order] for x in (v, k, h, s.view(np.uint64), t.view(np.uint64)))
             new = np.append(True, v[1:] != v[:-1])
             fresh = new | np.append(True, k[1:] != k[:-1])
             each = np.flatnonzero(fresh)  # a row for each key of a run
@@ -218,10 +222,10 @@ def _runs(block: int, most: int, streak: int = 1 << 17):
             if many.any():
                 hot = np.repeat(np.repeat(many, size), np.diff(np.append(each, len(v))))
                 yield made(np.full(int(hot.sum()), _MANY), v[hot], k[hot], h[hot], np.zeros(int(hot.sum()), bool))
-            v, k, h, s = (x[each] for x in (v, k, h, s))
+            v, k, h, s, t = (x[each] for x in (v, k, h, s, t))
             few = np.repeat(~many, size)
             equal = several & few & (v & 1 == 0)
-            sel = _partnered(begin[~many], size[~many], np.where(several, k, h), s, most)
+            sel = _partnered(begin[~many], size[~many], np.where(several, k, h), (s, t), most)
             name = np.repeat(np.add.reduceat(np.where(sel, mix(k.view(np.uint64)), np.uint64(0)), begin), size).view(np.int64)
             if equal.any() or sel.any():
                 columns = [np.concatenate([a[equal], c[sel]]) for a, c in ((v, name), (k, k), (h, h), (several, several))]
@@ -247,7 +251,7 @@ def _crowds(table: DataFrame, block: int, most: int) -> list[DataFrame]:
     """Staged results of _runs(), band by band: the shuffle of one is gone before that of the next."""
     found = []
     for b in range(BANDS):
-        rows = table.where("lead").select(F.col(f"band_{b}").alias("value"), "key", _home(F.col("doc_id")).alias("home"), "sketch").repartition("value").sortWithinPartitions("value")
+        rows = table.where("lead").select(F.col(f"band_{b}").alias("value"), "key", _home(F.col("doc_id")).alias("home"), "sketch_0", "sketch_1").repartition("value").sortWithinPartitions("value")
         found.append(staged(rows.mapInArrow(_runs(block, most), "kind tinyint, crowd long, key long, home long, several boolean"), "crowds"))
     return found
 
@@ -398,6 +402,9 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
             rooted = members.join(known, "key", "left").groupBy("kind", "crowd").agg(F.min(F.coalesce("root", "key")).alias("low"), F.max(F.coalesce("root", "key")).alias("high"))
             members = members.join(rooted.where("low <> high").select("kind", "crowd"), ["kind", "crowd"], "left_semi")
         members = staged(members, "members")
+        for done in some:
+            if done is not crowds[0]:  # which names the equal ones
+                discard(done)
         wanted = members.groupBy("key").agg(F.min("home").alias("home")).groupBy("home").agg(F.collect_list("key").alias("keys"))  # of one document: bounded by its length
         sets = staged(_sets(docs, wanted, "doc_id", "text", length, gap), "shingle-sets")
         links = staged(_links(members, sets, jaccard, block), "links")
@@ -409,7 +416,7 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     some = equal.union(near).groupBy("key", "band_0").agg(F.max("root").alias("root"))
     placed = places.join(some, ["key", "band_0"]).withColumn("root", F.coalesce("root", F.xxhash64("key", "band_0")))
     placed = staged(placed, "placed")
-    for done in (places, *crowds):
+    for done in (places, crowds[0]):
         discard(done)
     first = placed.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("most")).where("first_doc <> most").select("root", "first_doc")
     found = staged(placed.join(first, "root").select("doc_id", "version", "pos", "key", "band_0", "first_doc"), "found")

@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from archloom.operators.staging import cut_lineage as staged
 from archloom.operators.staging import discard, new_folder
 
 from .text import slices
 
-__all__ = ["discard", "new_folder", "numbered", "release", "row_wise", "staged"]
+__all__ = ["discard", "new_folder", "numbered", "row_wise", "staged"]
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -25,11 +25,6 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, now rather than when the driver collects its garbage."""
-    spark._jvm.System.gc()
-
-
 def row_wise(docs: DataFrame, text: str, keep: list[str] | None, made: str, measure: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """The columns ``keep`` of docs (default: all but the text) and those that measure() makes of Arrow arrays of whole texts, in one pass.
 
