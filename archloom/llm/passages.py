@@ -298,30 +298,34 @@ def _near_pairs(first: np.ndarray, second: np.ndarray, sets: np.ndarray, sizes:
     return out
 
 
-def _forest(begin: np.ndarray, size: np.ndarray, keys: np.ndarray, apart: np.ndarray, sides: np.ndarray, sets: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links between the paragraphs of groups (first rows, numbers of rows), each of one or two blocks: of pairs with Jaccard >= least that aren't of one document alone, a star for each component."""
-    root: dict[tuple[int, int], tuple[int, int]] = {}  # group and key: the smallest key that it is linked with
-
-    def find(x: tuple[int, int]) -> tuple[int, int]:
-        while (y := root.get(x, x)) != x:
-            root[x] = x = root.get(y, y)
-        return x
-
-    group = np.arange(len(begin))
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root (of each row the least row of its component) after rows x and y are joined."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forest(begin: np.ndarray, size: np.ndarray, keys: np.ndarray, apart: np.ndarray, sides: np.ndarray, sets: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the paragraphs of groups (first rows, numbers of rows), each of one or two blocks: of pairs with Jaccard >= least that aren't of one document alone, a star for each component. What is linked already isn't compared again."""
+    root = np.arange(len(keys))
     for d in range(1, int(size.max(initial=1))):
         larger = size > d
-        begin, size, group = begin[larger], size[larger], group[larger]
+        begin, size = begin[larger], size[larger]
         n = size - d
         x = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        g = np.repeat(group, n)
+        x = x[root[x] != root[x + d]]
         y = x + d
-        ask = np.flatnonzero((keys[x] != keys[y]) & (apart[x] != apart[y]) & ((sides[x] != sides[y]) | (sides[x] == 0)))
-        near = ask[_near_pairs(x[ask], y[ask], sets, sizes, least)]
-        for i, u, v in zip(g[near].tolist(), keys[x[near]].tolist(), keys[y[near]].tolist()):
-            a, b = find((i, u)), find((i, v))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return [(x[1], find(x)[1]) for x in list(root)]
+        ask = (keys[x] != keys[y]) & (apart[x] != apart[y]) & ((sides[x] != sides[y]) | (sides[x] == 0))
+        x, y = x[ask], y[ask]
+        near = _near_pairs(x, y, sets, sizes, least)
+        root = _joined(root, x[near], y[near])
+    linked = root != np.arange(len(keys))
+    return keys[linked], keys[root[linked]]
 
 
 def _verify(least: float):
@@ -337,10 +341,9 @@ def _verify(least: float):
             sets = np.arange(len(n) * width, dtype=np.int64).reshape(len(n), width)  # no hash, or one in 2**40
             sets[np.arange(width) < n[:, None]] = b.column(6).flatten().to_numpy()
             begin = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            found = _forest(begin, np.diff(np.append(begin, len(c))), keys, apart, sides, sets, n, least)
-            if found:
-                u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            u, v = _forest(begin, np.diff(np.append(begin, len(c))), keys, apart, sides, sets, n, least)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for b in batches:
             if not b.num_rows:

@@ -300,3 +300,38 @@ def test_unlike_texts_of_one_document(spark):
     rows = [(1, passage), (2, prose(rng, 50, 50_000) + " " + passage), (2, short), (2, long)]
     got = [(r.doc_id, r.text) for r in passages.remove_repeats(documents(spark, rows)).collect()]
     assert len(got) == 4 and {(1, passage), (2, short), (2, long)} <= set(got) and not any(passage in t for i, t in got if i == 2)
+
+
+def test_forest_against_all_pairs():
+    """Components of the links against those of all pairs by exact Jaccard, for groups of one and of two blocks."""
+    import numpy as np
+
+    rng = random.Random(17)
+    for _ in range(60):
+        begin, rows = [], []
+        for _ in range(rng.randrange(1, 5)):
+            begin.append(len(rows))
+            base = [rng.sample(range(1000), 12) for _ in range(2)]
+            two = rng.random() < 0.5
+            for _ in range(rng.randrange(1, 14)):
+                s = list(rng.choice(base))
+                for _ in range(rng.randrange(4)):
+                    s[rng.randrange(12)] = rng.randrange(1000)
+                rows.append((len(rows) + 5000, rng.randrange(4), rng.choice([1, 2]) if two else 0, sorted(set(s)), len(begin)))
+        keys, apart, sides = (np.array([r[i] for r in rows]) for i in range(3))
+        sizes = np.array([len(r[3]) for r in rows])
+        sets = np.array([r[3] + [-1 - 20 * i - j for j in range(12 - len(r[3]))] for i, r in enumerate(rows)])
+        root = list(range(len(rows)))
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for i, p in enumerate(rows):
+            for j, q in enumerate(rows[:i]):
+                if p[4] == q[4] and p[1] != q[1] and (p[2] != q[2] or not p[2]) and len(set(p[3]) & set(q[3])) >= 0.7 * len(set(p[3]) | set(q[3])):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        u, v = passages._forest(np.array(begin), np.diff([*begin, len(rows)]), keys, apart, sides, sets, sizes, 0.7)
+        assert dict(zip((u - 5000).tolist(), (v - 5000).tolist())) == {i: find(i) for i in range(len(rows)) if find(i) != i}
