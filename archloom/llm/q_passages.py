@@ -1,4 +1,4 @@
-"""op10: the query; MinHash isn't SQL, so the tests compare it with brute force."""
+"""op10: the query; MinHash isn't SQL, so the tests measure recall on planted passages and compare the linking of candidates with brute force."""
 
 from pyspark.sql import DataFrame, SparkSession
 
