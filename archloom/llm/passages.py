@@ -201,6 +201,8 @@ def _runs(block: int, most: int, streak: int = 1 << 17):
             return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), *map(pa.array, columns)], ["kind", "crowd", "key", "home", "several"])
 
         def judged(v: np.ndarray, k: np.ndarray, h: np.ndarray, s: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(v):  # all of a batch is one run, which may go on
+                return
             same = v[1:] == v[:-1]
             alone = np.append(True, ~same) & np.append(~same, True)
             if open_run is not None:

@@ -335,3 +335,17 @@ def test_forest_against_all_pairs():
                     root[b] = a
         u, v = passages._forest(np.array(begin), np.diff([*begin, len(rows)]), keys, apart, sides, sets, sizes, 0.7)
         assert dict(zip((u - 5000).tolist(), (v - 5000).tolist())) == {i: find(i) for i in range(len(rows)) if find(i) != i}
+
+
+def test_one_value_fills_whole_batches():
+    """A band value of more rows than a batch has: its run goes on over batches of nothing else, and is judged once or, beyond the streak, as it comes."""
+    import numpy as np
+
+    value = np.repeat([2, 12, 20], [1, 1000, 1])
+    columns = [value, np.arange(1002), np.arange(1002) % 900, np.full(1002, 7), np.full(1002, 7)]
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["value", "key", "home", "s", "t"])
+    for start, streak in ((0, 1 << 17), (1, 1 << 17), (0, 150), (1, 150)):
+        batches = [whole.slice(i, min(100, 1002 - i)) for i in range(start, 1002, 100)]
+        got = [r for b in passages._runs(256, 9, streak)(iter(batches)) for r in b.to_pylist()]
+        assert {(r["kind"], r["crowd"]) for r in got} == {(passages._MANY, 12)} and sorted(r["key"] for r in got) == list(range(1, 1001))
+    assert not list(passages._runs(256, 9)(iter([])))
