@@ -185,12 +185,29 @@ def _partnered(begin: np.ndarray, size: np.ndarray, apart: np.ndarray, sketch: t
     return out
 
 
+def _partnered_of_many(apart: np.ndarray, sketch: tuple[np.ndarray, np.ndarray], most: int, cells: int = 1 << 18) -> np.ndarray:
+    """What _partnered() says of the rows of one large run: neighbours in the order of sketches first, then those that have no partner yet against all, some ``cells`` pairs at a time."""
+    out, order = np.zeros(len(apart), bool), np.lexsort(sketch[::-1])
+    for d in range(1, min(17, len(apart))):
+        x, y = order[:-d], order[d:]
+        near = (sum(np.bitwise_count(s[x] ^ s[y]) for s in sketch) <= most) & (apart[x] != apart[y])
+        out[x[near]] = True
+        out[y[near]] = True
+    left, step = np.flatnonzero(~out), max(1, cells // max(1, len(apart)))
+    for a in range(0, len(left), step):
+        x = left[a : a + step, None]
+        near = sum(np.bitwise_count(s[x] ^ s) for s in sketch) <= most
+        near &= apart[x] != apart
+        out[left[a : a + step]] = near.any(axis=1)  # a partner that has none yet finds this row in its turn
+    return out
+
+
 def _runs(block: int, most: int, streak: int = 1 << 17):
     """Over rows (value, key, home, sketch_0, sketch_1) sorted by value: (kind, crowd, key, home, several).
 
     _EQUAL: the key is in several documents; crowd is the value of the first band. _FEW, _MANY: the key is one of up to
-    block, or more, that share a value; crowd names them. Of few, there is a row for each key, and only those are left whose sketch differs
-    from another's by at most so many bits: no others can be near. Of many, all rows are handed on; a run of over ``streak`` rows is, as it comes.
+    block, or more, that share a value; crowd names them. There is a row for each key, and only those are left whose sketch differs
+    from another's by at most so many bits: no others can be near. Of a run of over ``streak`` rows, all are handed on as _MANY, as they come.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,20 +235,23 @@ def _runs(block: int, most: int, streak: int = 1 << 17):
             several = np.add.reduceat(np.append(False, ~fresh[1:] & (h[1:] != h[:-1])), each) > 0
             begin = np.flatnonzero(new[each])
             size = np.diff(np.append(begin, len(each)))
-            many = size > block
-            if open_run is not None:
-                many |= v[each][begin] == open_run
-            if many.any():
-                hot = np.repeat(np.repeat(many, size), np.diff(np.append(each, len(v))))
+            handed = np.zeros(len(begin), bool) if open_run is None else v[each][begin] == open_run
+            if handed.any():
+                hot = np.repeat(np.repeat(handed, size), np.diff(np.append(each, len(v))))
                 yield made(np.full(int(hot.sum()), _MANY), v[hot], k[hot], h[hot], np.zeros(int(hot.sum()), bool))
             v, k, h, s, t = (x[each] for x in (v, k, h, s, t))
-            few = np.repeat(~many, size)
-            equal = several & few & (v & 1 == 0)
-            sel = _partnered(begin[~many], size[~many], np.where(several, k, h), (s, t), most)
-            name = np.repeat(np.add.reduceat(np.where(sel, mix(k.view(np.uint64)), np.uint64(0)), begin), size).view(np.int64)
+            equal = several & ~np.repeat(handed, size) & (v & 1 == 0)
+            apart, few = np.where(several, k, h), ~handed & (size <= block)
+            sel = _partnered(begin[few], size[few], apart, (s, t), most)
+            for i in np.flatnonzero(~handed & ~few):
+                of = slice(begin[i], begin[i] + size[i])
+                sel[of] = _partnered_of_many(apart[of], (s[of], t[of]), most)
+            left = np.add.reduceat(sel, begin, dtype=np.int64)
+            many = np.repeat(left > block, size)
+            name = np.where(many, v, np.repeat(np.add.reduceat(np.where(sel, mix(k.view(np.uint64)), np.uint64(0)), begin), size).view(np.int64))
             if equal.any() or sel.any():
                 columns = [np.concatenate([a[equal], c[sel]]) for a, c in ((v, name), (k, k), (h, h), (several, several))]
-                yield made(np.repeat([_EQUAL, _FEW], [equal.sum(), sel.sum()]), *columns)
+                yield made(np.concatenate([np.full(int(equal.sum()), _EQUAL), np.where(many[sel], _MANY, _FEW)]), *columns)
 
         for b in batches:
             if not b.num_rows:
@@ -258,11 +278,12 @@ def _crowds(table: DataFrame, block: int, most: int) -> list[DataFrame]:
     return found
 
 
-def _members(crowds: list[DataFrame]) -> DataFrame:
-    """(kind, crowd, key, home, several, apart): a row for each paragraph of a crowd. several: it is in more than one document. apart tells what needn't be compared: paragraphs that only the same document has."""
-    rows = reduce(DataFrame.union, crowds).where(F.col("kind") != _EQUAL).groupBy("kind", "crowd", "key").agg(F.min("home").alias("home"), F.max("home").alias("other"), F.max("several").alias("several"))
+def _members(crowds: list[DataFrame], early: int = 0) -> DataFrame:
+    """(kind, crowd, key, home, several, apart, late): a row for each paragraph of a crowd. several: it is in more than one document. apart tells what needn't be compared: paragraphs that only the same document has. late: the first ``early`` bands don't have it in this crowd."""
+    rows = reduce(DataFrame.union, [c.withColumn("late", F.lit(i >= early)) for i, c in enumerate(crowds)]).where(F.col("kind") != _EQUAL)
+    rows = rows.groupBy("kind", "crowd", "key").agg(F.min("home").alias("home"), F.max("home").alias("other"), F.max("several").alias("several"), F.min("late").alias("late"))
     several = F.col("several") | (F.col("home") != F.col("other"))
-    return rows.select("kind", "crowd", "key", "home", several.alias("several"), F.when(several, F.col("key")).otherwise(F.col("home")).alias("apart"))
+    return rows.select("kind", "crowd", "key", "home", several.alias("several"), F.when(several, F.col("key")).otherwise(F.col("home")).alias("apart"), "late")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: int, gap: int) -> DataFrame:
@@ -312,9 +333,27 @@ def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _forest(begin: np.ndarray, size: np.ndarray, keys: np.ndarray, apart: np.ndarray, sides: np.ndarray, sets: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the paragraphs of groups (first rows, numbers of rows), each of one or two blocks: of pairs with Jaccard >= least that aren't of one document alone, a star for each component. What is linked already isn't compared again."""
-    root = np.arange(len(keys))
+def _marks(sets: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """sketches() of sets of shingles."""
+    h = mix(sets.view(np.uint64))
+    bit, half = np.where(np.arange(sets.shape[1]) < sizes[:, None], np.uint64(1) << (h >> np.uint64(58)), np.uint64(0)), h >> np.uint64(57) & np.uint64(1)
+    return [np.bitwise_or.reduce(bit * (half ^ np.uint64(1) if i else half), axis=1) for i in range(2)]
+
+
+def _forest(begin: np.ndarray, size: np.ndarray, keys: np.ndarray, apart: np.ndarray, sides: np.ndarray, sets: np.ndarray, sizes: np.ndarray, least: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the paragraphs of groups (first rows, numbers of rows), each of one or two blocks: of pairs with Jaccard >= least that aren't of one document alone, a star for each component.
+
+    What is linked already isn't compared again, nor are pairs whose sketches rule it out. known: rows of a group that have it in common are linked from the start, and these links aren't returned.
+    """
+    rows = np.arange(len(keys))
+    root = rows
+    if known is not None:
+        group = np.repeat(np.arange(len(begin)), size)
+        order = np.lexsort((rows, known, group))
+        new = np.append(True, (group[order][1:] != group[order][:-1]) | (known[order][1:] != known[order][:-1]))[: len(rows)]
+        root = np.zeros(len(rows), np.int64)
+        root[order] = order[np.maximum.accumulate(np.where(new, rows, 0))]
+    were, root, marks = root, root.copy(), _marks(sets, sizes)
     for d in range(1, int(size.max(initial=1))):
         larger = size > d
         begin, size = begin[larger], size[larger]
@@ -323,27 +362,28 @@ def _forest(begin: np.ndarray, size: np.ndarray, keys: np.ndarray, apart: np.nda
         x = x[root[x] != root[x + d]]
         y = x + d
         ask = (keys[x] != keys[y]) & (apart[x] != apart[y]) & ((sides[x] != sides[y]) | (sides[x] == 0))
+        ask &= sum(np.bitwise_count(m[x] ^ m[y]) for m in marks) <= (sizes[x] + sizes[y]) * ((1 - least) / (1 + least)) + 1e-9
         x, y = x[ask], y[ask]
         near = _near_pairs(x, y, sets, sizes, least)
         root = _joined(root, x[near], y[near])
-    linked = root != np.arange(len(keys))
+    linked = (root != rows) & (were == rows)
     return keys[linked], keys[root[linked]]
 
 
 def _verify(least: float):
-    """Over rows (crowd, a, b, key, apart, side, shingles) sorted by (crowd, a, b): the links of each such group. A group is at most two blocks."""
+    """Over rows (crowd, a, b, key, apart, root, side, shingles) sorted by (crowd, a, b): the links of each such group. A group is at most two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.RecordBatch | None = None
 
         def judged(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            c, x, y, keys, apart, sides = (b.column(i).to_numpy() for i in range(6))
-            n = pc.list_value_length(b.column(6)).to_numpy(zero_copy_only=False).astype(np.int64)
+            c, x, y, keys, apart, roots, sides = (b.column(i).to_numpy() for i in range(7))
+            n = pc.list_value_length(b.column(7)).to_numpy(zero_copy_only=False).astype(np.int64)
             width = int(n.max(initial=1))
             sets = np.arange(len(n) * width, dtype=np.int64).reshape(len(n), width)  # no hash, or one in 2**40
-            sets[np.arange(width) < n[:, None]] = b.column(6).flatten().to_numpy()
+            sets[np.arange(width) < n[:, None]] = b.column(7).flatten().to_numpy()
             begin = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            u, v = _forest(begin, np.diff(np.append(begin, len(c))), keys, apart, sides, sets, n, least)
+            u, v = _forest(begin, np.diff(np.append(begin, len(c))), keys, apart, sides, sets, n, least, roots)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -364,26 +404,41 @@ def _verify(least: float):
 
 
 def _prefixes(many: DataFrame, least: float) -> DataFrame:
-    """many (crowd, key, apart, shingles) -> the same rows, by crowds of those that share one of the rarest n - ceil(least * n) + 1 of their n shingles, of which any two with Jaccard >= least share one."""
-    each = many.select("crowd", "key", F.explode("shingles").alias("s"))
-    rare = each.join(each.groupBy("crowd", "s").agg(F.count("*").alias("m")), ["crowd", "s"]).groupBy("crowd", "key").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("all"))  # of one paragraph
-    first = rare.select("crowd", "key", F.explode(F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * least - 1e-9) + 1).cast("int"))).alias("p"))
-    return first.join(many, ["crowd", "key"]).select(F.xxhash64("crowd", "p.s").alias("crowd"), "key", "apart", "shingles")
+    """many (key, shingles), a row a key -> (crowd, key): crowds of those that share a rare shingle, among them each pair with Jaccard >= least.
+
+    Two sets of n >= m shingles with Jaccard >= least have at least t = least / (1 + least) * (n + m) in common, so the n - t + 1 rarest
+    of the one and the m - t + 1 rarest of the other share one. Of the smaller (or of two of a size) these are among the first
+    m - 2 * least / (1 + least) * m + 1; of the larger, among the first n - least * n + 1, but rows past the former number only count as far as the smallest set they meet allows.
+    """
+    each = many.select("key", F.explode("shingles").alias("s"))
+    rare = each.join(each.groupBy("s").agg(F.count("*").alias("m")), "s").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("all"))  # of one paragraph
+    first = lambda share: (F.size("all") - F.ceil(F.size("all") * share - 1e-9) + 1).cast("int")
+    # Shingles of one paragraph alone meet nothing.
+    found = rare.select("key", F.size("all").alias("n"), first(2 * least / (1 + least)).alias("own"), F.posexplode(F.slice("all", F.lit(1), first(least))).alias("i", "p")).where("p.m > 1")
+    found = found.select("key", "n", "i", (F.col("i") < F.col("own")).alias("own"), F.col("p.s").alias("crowd"))
+    low = found.where("own").groupBy("crowd").agg(F.min("n").alias("low"))
+    reached = F.col("i") <= F.col("n") - F.ceil((F.col("n") + F.col("low")) * (least / (1 + least)) - 1e-9)
+    return found.join(low, "crowd").where(F.col("own") | reached).select("crowd", "key")
 
 
 def _links(members: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
-    """members (kind, crowd, key, apart), sets (key, shingles) -> (u, v): links that have the components of all pairs of a crowd with Jaccard >= least."""
-    rows = members.join(sets.select("key", "shingles"), "key")
-    few = rows.where(F.col("kind") == _FEW).select("crowd", F.lit(0).alias("a"), F.lit(0).alias("b"), "key", "apart", F.lit(0).alias("side"), "shingles")
-    if not members.where(F.col("kind") == _MANY).isEmpty():
-        parted = _prefixes(rows.where(F.col("kind") == _MANY).select("crowd", "key", "apart", "shingles"), least)
-        sizes = parted.groupBy("crowd").agg(F.count("*").alias("n")).where("n > 1")
+    """members (kind, crowd, key, apart, root), sets (key, shingles) -> (u, v): links that, with those between each key and its root, have the components of all pairs of a crowd with Jaccard >= least."""
+    sets, one = sets.select("key", "shingles"), F.lit(0)
+    names = ["crowd", "a", "b", "key", "apart", "root", "side"]
+    asked = members.where(F.col("kind") == _FEW).select("crowd", one.alias("a"), one.alias("b"), "key", "apart", "root", one.alias("side"))
+    many = members.where(F.col("kind") == _MANY)
+    if not many.isEmpty():
+        # A paragraph that several bands have in a crowd is looked at once.
+        many = staged(many.groupBy("key").agg(F.min("apart").alias("apart"), F.min("root").alias("root")), "many")
+        parted = staged(_prefixes(many.join(sets, "key"), least).join(many, "key"), "parted")
+        sizes = parted.groupBy("crowd").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("crowd", "n")
         # Block i meets every block j: as the smaller or the larger of the two.
         parts = F.ceil(F.col("n") / block).cast("int")
         mine = F.pmod(F.xxhash64("key"), parts).cast("int")
-        spread = parted.join(sizes, "crowd").select("crowd", "key", "apart", "shingles", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
-        few = few.union(spread.select("crowd", F.least("i", "j"), F.greatest("i", "j"), "key", "apart", F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2), "shingles"))
-    return few.repartition("crowd", "a", "b").sortWithinPartitions("crowd", "a", "b").mapInArrow(_verify(least), "u long, v long")
+        spread = parted.join(sizes, "crowd").select("crowd", "key", "apart", "root", mine.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
+        spread = spread.select("crowd", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "key", "apart", "root", F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
+        asked = asked.union(spread)
+    return asked.join(sets, "key").select(*names, "shingles").repartition("crowd", "a", "b").sortWithinPartitions("crowd", "a", "b").mapInArrow(_verify(least), "u long, v long")
 
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 30, gap: int = 21, jaccard: float = 0.7, block: int = 256) -> DataFrame:
@@ -400,24 +455,25 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     discard(table)
     hot = _members(crowds[:1]).where((F.col("kind") == _MANY) & F.col("several"))
     equal = crowds[0].where(F.col("kind") == _EQUAL).select("crowd", "key").union(hot.select("crowd", "key")).select("key", F.col("crowd").alias("band_0"), F.lit(None).cast("long").alias("root")).distinct()
-    known, named = None, []
-    for some in (crowds[:2], crowds[2:]):  # crowds that the first bands have linked whole needn't be verified again
-        members = _members(some).drop("several")
-        if known is not None:
-            rooted = members.join(known, "key", "left").groupBy("kind", "crowd").agg(F.min(F.coalesce("root", "key")).alias("low"), F.max(F.coalesce("root", "key")).alias("high"))
-            members = members.join(rooted.where("low <> high").select("kind", "crowd"), ["kind", "crowd"], "left_semi")
-        members = staged(members, "members")
-        for done in some:
-            if done is not crowds[0]:  # which names the equal ones
-                discard(done)
-        wanted = members.groupBy("key").agg(F.min("home").alias("home")).groupBy("home").agg(F.collect_list("key").alias("keys"))  # of one document: bounded by its length
-        sets = staged(_sets(docs, wanted, "doc_id", "text", length, gap), "shingle-sets")
-        links = staged(_links(members, sets, jaccard, block), "links")
-        named.append(staged(sets.select("key", "band_0"), "named"))
-        for done in (members, sets):
-            discard(done)
-        known = components(links if known is None else links.union(known), "paragraph-clusters").select(F.col("node").alias("key"), "root")
-    near = reduce(DataFrame.union, named).distinct().join(known, "key").select("key", "band_0", "root")
+    members = staged(_members(crowds, 2).drop("several"), "members")
+    for done in crowds[1:]:  # the first names the equal ones
+        discard(done)
+    wanted = members.groupBy("key").agg(F.min("home").alias("home")).groupBy("home").agg(F.collect_list("key").alias("keys"))  # of one document: bounded by its length
+    sets = staged(_sets(docs, wanted, "doc_id", "text", length, gap), "shingle-sets")
+    few = F.col("kind") == _FEW
+    links = staged(_links(members.where(few & ~F.col("late")).withColumn("root", F.col("key")), sets, jaccard, block), "links")
+    known = components(links, "paragraph-clusters").select(F.col("node").alias("key"), "root")
+    # Crowds that the first bands have linked whole needn't be verified again.
+    rooted = members.where(~few | F.col("late")).join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = rooted.groupBy("kind", "crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("kind", "crowd")
+    left = staged(rooted.join(apart, ["kind", "crowd"], "left_semi").select("kind", "crowd", "key", "apart", "root"), "members")
+    discard(members)
+    links = staged(_links(left, sets, jaccard, block), "links")
+    named = staged(sets.select("key", "band_0"), "named")
+    for done in (left, sets):
+        discard(done)
+    known = components(links.union(known), "paragraph-clusters").select(F.col("node").alias("key"), "root")
+    near = named.join(known, "key").select("key", "band_0", "root")
     some = equal.union(near).groupBy("key", "band_0").agg(F.max("root").alias("root"))
     placed = places.join(some, ["key", "band_0"]).withColumn("root", F.coalesce("root", F.xxhash64("key", "band_0")))
     placed = staged(placed, "placed")

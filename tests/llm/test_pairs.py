@@ -349,3 +349,64 @@ def test_one_value_fills_whole_batches():
         got = [r for b in passages._runs(256, 9, streak)(iter(batches)) for r in b.to_pylist()]
         assert {(r["kind"], r["crowd"]) for r in got} == {(passages._MANY, 12)} and sorted(r["key"] for r in got) == list(range(1, 1001))
     assert not list(passages._runs(256, 9)(iter([])))
+
+
+def test_links_that_are_known_are_not_returned():
+    import numpy as np
+
+    base = list(range(100, 128))
+    sets = np.array([sorted([*base[i:], *range(1000 + 50 * i, 1000 + 50 * i + i)]) for i in (0, 1, 2, 3, 0, 1)])
+    keys, apart, none = np.arange(10, 16), np.arange(6), np.zeros(6, np.int64)
+    found = lambda known: dict(zip(*(x.tolist() for x in passages._forest(np.array([0, 4]), np.array([4, 2]), keys, apart, none, sets, none + 28, 0.7, known))))
+    assert found(None) == found(keys) == {11: 10, 12: 10, 13: 10, 15: 14}
+    assert found(np.array([3, 3, 4, 4, 3, 3])) == {12: 10}
+
+
+def test_crowds_keep_what_can_be_near():
+    """Of a crowded value, only paragraphs whose sketch comes near another's are left; that many are handed on as a small crowd, with what is equal."""
+    import numpy as np
+
+    rng = np.random.default_rng(18)
+    n = 600
+    sketch = rng.integers(0, 2**63, (n, 2), dtype=np.int64)
+    sketch[1] = sketch[0] ^ np.array([0b111, 0b11])
+    sketch[3] = sketch[2]
+    key, home = np.arange(n), np.arange(n) % 500
+    home[3] = home[2]  # one document's own: needn't be compared
+    key[5], sketch[5] = key[4], sketch[4]  # in two documents
+    rows = [np.full(n, 12), key, home, sketch[:, 0], sketch[:, 1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["value", "key", "home", "s", "t"])
+    got = [(r["kind"], r["crowd"] == 12, r["key"], r["several"]) for b in passages._runs(256, 9)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(got) == [(passages._EQUAL, True, 4, True), (passages._FEW, False, 0, False), (passages._FEW, False, 1, False)]
+    # A run that is handed on as it comes, and one that stays crowded after the sketches.
+    assert sum(b.num_rows for b in passages._runs(256, 9, 100)(iter([batch]))) == n
+    same = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.full(n, 7)), pa.array(np.full(n, 7))], batch.schema.names)
+    many = [r for b in passages._runs(256, 9)(iter([same])) for r in b.to_pylist() if r["kind"] == passages._MANY]
+    assert len(many) == n - 1 and all(r["crowd"] == 12 for r in many)
+    for n in (2, 300):  # against all pairs
+        s = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)[rng.integers(0, 40, n)] ^ (np.uint64(1) << rng.integers(0, 64, (n, 2)).astype(np.uint64)) ** np.uint64(1)
+        apart = rng.integers(0, 30, n)
+        far = np.bitwise_count(s[:, None] ^ s[None]).sum(axis=2) > 3
+        assert (passages._partnered_of_many(apart, (s[:, 0], s[:, 1]), 3, 1000) == (~far & (apart[:, None] != apart)).any(axis=1)).all()
+
+
+def test_rare_shingles_lead_to_every_near_pair(spark):
+    """Every pair with Jaccard >= 0.7, of sets of any sizes, has a rare shingle in common; pairs of windows that merely overlap in a common phrase have none."""
+    rng, rows = random.Random(19), []
+    bases = [rng.sample(range(400), 28) for _ in range(4)]
+    for i in range(160):
+        s = set(rng.choice(bases)[: rng.choice([28, 28, 28, 26, 23, 20, 8, 1])])
+        for _ in range(rng.randrange(8)):
+            s.discard(rng.choice(sorted(s)))
+            s.add(rng.randrange(400, 5000))
+        rows.append((i, sorted(s)))
+    def met(rows):
+        crowds = defaultdict(set)
+        for r in passages._prefixes(spark.createDataFrame(rows, "key long, shingles array<long>"), 0.7).collect():
+            crowds[r.crowd].add(r.key)
+        return {(a, b) for c in crowds.values() for a in c for b in c if a < b}
+
+    sets = {k: set(s) for k, s in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    assert near and near <= met(rows)
+    assert not met([(i, [*bases[0][:22], *range(10_000 + 6 * i, 10_006 + 6 * i)]) for i in range(50)])
