@@ -42,6 +42,8 @@ BANDS, ROWS = 8, 2
 _REGIONS = StructType([StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("n_removed", LongType())])
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _EQUAL, _FEW, _MANY = 0, 1, 2
+#: Bytes of text looked at in one go: the arrays made of them stay in a core's cache.
+_PIECE = 1 << 18
 
 
 def anchors(w: Words, hashes: np.ndarray, length: int, gap: int) -> np.ndarray:
@@ -155,7 +157,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str, length: int, gap: int, held:
             columns = [pa.concat_arrays(docs_), pa.concat_arrays(versions), pa.array(np.concatenate(pos)), pa.array(key), pa.array(lead), *[pa.array(np.concatenate([x[i] for x in bits]).view(np.int64), mask=~lead) for i in range(2)], pa.array(band[0]), *[pa.array(x, mask=~lead) for x in band[1:]]]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", _PIECE):
             w, at, keys, bands, shingles = paragraphs(b.column(3), length, gap)
             if not len(at):
                 continue
@@ -292,7 +294,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, length: in
     width = length - SHINGLE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", _PIECE):
             w, at, keys, bands, shingles = paragraphs(b.column(0), length, gap, 1)
             if not len(at):
                 continue
@@ -511,7 +513,7 @@ def _beside(docs: DataFrame, asked: DataFrame, length: int, most: int) -> DataFr
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", _PIECE):
             w = words(b.column(2))
             hashes = np.append(w.hashes(lower=True).view(np.int64), 0)
             pos = b.column(3).flatten().to_numpy(zero_copy_only=False)

@@ -16,6 +16,8 @@ _IN_WORD = np.ones(256, bool)
 _IN_WORD[[32, 9, 10, 11, 12, 13]] = False
 _rng = np.random.default_rng(20_231)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = _BYTE.copy()
+_LOWER[65:91] = _BYTE[97:123]
 _Q = np.uint64(0x9E3779B97F4A7C15)
 _PB = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64)
@@ -58,10 +60,8 @@ class Words:
         np.cumsum(lens[:-1], out=at[1:])
         inside = _IN_WORD[self.data]
         chars = self.data[inside]
-        if lower:
-            chars = np.where((chars >= 65) & (chars <= 90), chars + 32, chars)
         within = np.arange(len(chars)) - np.repeat(at, lens)
-        values = _BYTE[chars] * _pow(int(lens.max()))[within]
+        values = (_LOWER if lower else _BYTE)[chars] * _pow(int(lens.max()))[within]
         return mix(np.add.reduceat(values, at) + lens.astype(np.uint64) * _Q)
 
     def code_points(self) -> np.ndarray:
