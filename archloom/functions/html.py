@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -11,9 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
-class _Head(HTMLParser):
+_TAG = re.compile("<")
+
+
+class Verbatim(HTMLParser):
+    """Text comes as it is written. References aren't tokens of it, so none gets a semicolon that it hadn't, and no stray &# ends the reading."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=False)
+
+    def reset(self):
+        super().reset()
+        self.interesting = _TAG
+
+    def set_cdata_mode(self, elem, **kw):  # later versions of the parser look for references in some elements
+        super().set_cdata_mode(elem)
+
+    def clear_cdata_mode(self):
+        super().clear_cdata_mode()
+        self.interesting = _TAG
+
+
+class _Head(Verbatim):
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.title: list[str] | None = None
         self.inside = False
         self.icons: list[str] = []
@@ -46,21 +68,31 @@ class _Head(HTMLParser):
             self.title.append(data)
 
 
-def read_head(page: str | None) -> dict:
-    """title ("" if none), icons (distinct hrefs of icon links, in order), lang (html lang, then the two metas; None if none)."""
+def _read(page: str | None) -> _Head:
     p = _Head()
     try:
         p.feed(page or "")
         p.close()
     except Exception:  # a page that no parser reads has no title
         pass
+    return p
+
+
+def _head_of(p: _Head) -> dict:
     lang = next((p.lang[k] for k in ("html", "equiv", "name") if k in p.lang), None)
-    return {"title": "".join(p.title or []), "icons": list(dict.fromkeys(p.icons)), "lang": lang}
+    return {"title": "".join(map(unescape, p.title or [])), "icons": list(dict.fromkeys(p.icons)), "lang": lang}
+
+
+def read_head(page: str | None) -> dict:
+    """title ("" if none), icons (distinct hrefs of icon links, in order), lang (html lang, then the two metas; None if none)."""
+    return _head_of(_read(page))
 
 
-@F.arrow_udf(StructType([StructField("title", StringType()), StructField("icons", ArrayType(StringType())), StructField("lang", StringType())]))
+@F.arrow_udf(StructType([StructField("title", StringType()), StructField("icons", ArrayType(StringType())), StructField("lang", StringType()), StructField("title_source", StringType())]))
 def head(pages: pa.Array) -> pa.Array:
-    return pa.array([read_head(x) for x in pages.to_pylist()], pa.struct([("title", pa.string()), ("icons", pa.list_(pa.string())), ("lang", pa.string())]))
+    """What read_head gives, and the title as it is written, references and all."""
+    read = map(_read, pages.to_pylist())
+    return pa.array([_head_of(p) | {"title_source": "".join(p.title or [])} for p in read], pa.struct([("title", pa.string()), ("icons", pa.list_(pa.string())), ("lang", pa.string()), ("title_source", pa.string())]))
 
 
 # Expressions for pages whose markup is plain; they stay in generated code.

@@ -1,4 +1,5 @@
 import base64
+import tempfile
 
 import pytest
 
@@ -93,6 +94,23 @@ def test_head():
     assert html.read_head(None) == {"title": "", "icons": [], "lang": None}
 
 
+def test_title_as_written(spark):
+    """Titles cut within a reference: HTML reads &quot without its semicolon too, the query's SQL doesn't."""
+    import duckdb
+
+    from archloom.plans.catalogue import ORACLES, QUERIES, table
+
+    titles = ["a &quot", "&quot;b&quot; &am", "c&amp", "d &#", "&#x27;e; &lt;", "AT&T; f", "&#1", ""]
+    rows = [(i, "http://s.test/", f'<html lang="de"><title>{t}</title><p>&# ;</p>') for i, t in enumerate(titles)]
+    read = ['a "', '"b" &am', "c&", "d &#", "'e; <", "AT&T; f", "", ""]
+    assert [html.read_head(r[2])["title"] for r in rows] == read
+    with tempfile.TemporaryDirectory() as d:
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+        assert [r[0] for r in table(spark, d, "pages").orderBy("page_id").select(html.head("html")["title"]).collect()] == read
+        got = sorted(map(tuple, QUERIES["html_head"](spark, d).collect()))
+        assert got == sorted(duckdb.sql(f"WITH pages AS (SELECT * FROM '{d}/pages.parquet/*.parquet') {ORACLES['html_head']}").fetchall())
+
+
 def test_icons():
     sizes = [(16, 16), (192, 192), (48, 96), (96, 48), (48, 48), (47, 500), (64, 64)]
     got = icons.ordered([icons.Icon(str(s), *s, b"", "PNG") for s in sizes])
